@@ -232,3 +232,32 @@ fragment(
     JOIN embeddings ON vec_id = ((claim_id // 1000) * 17 + page) % (SELECT count(*) FROM embeddings)""",
     "claims",
 )
+
+
+def fact_sets(spark, d) -> DataFrame:
+    """Per document, its numbered statements as facts, with a vector: reference_id, brand, facts, embedding."""
+    k = (F.col("doc_id") * 7 + F.col("line_no")) % 7
+    rows = statements(spark, d).filter(k <= 1)
+    # one group is one document
+    sets = rows.groupBy("doc_id", "source").agg(
+        F.array_sort(F.collect_list(F.struct("line_no", F.col("stmt").alias("text"), "page"))).alias("f")
+    )
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    total = table(spark, d, "embeddings").agg(F.count("*")).scalar()
+    facts = F.transform("f", lambda f: F.struct(f["text"].alias("text"), f["page"].alias("page")))
+    return (
+        sets.select(F.col("doc_id").alias("reference_id"), F.col("source").alias("brand"), facts.alias("facts"))
+        .withColumn("vec_id", (F.col("reference_id") * 31 + 1) % total)
+        .join(vectors, "vec_id")
+        .drop("vec_id")
+    )
+
+
+fragment(
+    "fact_sets",
+    """SELECT s.*, embedding::DOUBLE[] AS embedding FROM (
+      SELECT doc_id AS reference_id, source AS brand, list({'text': stmt, 'page': page} ORDER BY line_no) AS facts
+      FROM statements WHERE (doc_id * 7 + line_no) % 7 <= 1 GROUP BY ALL) s
+    JOIN embeddings ON vec_id = (reference_id * 31 + 1) % (SELECT count(*) FROM embeddings)""",
+    "statements",
+)

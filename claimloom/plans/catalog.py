@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import importlib
 
-from claimloom.plans.registry import ORACLES, QUERIES
+from claimloom.plans.registry import ORACLES, QUERIES, sql
 
 FLAGSHIP = "k07_rerank_hybrid"
-MODULES = ("text_queries",)
+MODULES = ("text_queries", "retrieval_queries")
 
 for _module in MODULES:
     importlib.import_module(f"claimloom.plans.{_module}")
@@ -18,4 +18,4 @@ def queries():
 
 
 def oracle_sql():
-    return dict(ORACLES)
+    return {name: sql(body, *needs) for name, (body, needs) in ORACLES.items()}

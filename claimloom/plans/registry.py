@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, tuple[str, tuple[str, ...]]] = {}
 # named SQL fragments: name -> (body, names it needs)
 FRAGMENTS: dict[str, tuple[str, tuple[str, ...]]] = {}
 
@@ -49,7 +49,7 @@ def query(name: str, oracle: str | None = None, needs: tuple[str, ...] = ()):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = fn
         if oracle is not None:
-            ORACLES[name] = sql(oracle, *needs)
+            ORACLES[name] = (oracle, needs)
         return fn
 
     return wrap
