@@ -31,8 +31,11 @@ def sql(body: str, *needs: str) -> str:
     for name in needs:
         visit(name)
     parts = [f"{n} AS (\n{FRAGMENTS[n][0].strip()}\n)" for n in order]
-    head = "WITH " + ",\n".join(parts) + "\n" if parts else ""
-    return _lambdas(head + body.strip())
+    body = body.strip()
+    head = "WITH " + ",\n".join(parts) if parts else ""
+    if parts and body.startswith("WITH "):
+        head, body = head + ",", body[len("WITH "):]
+    return _lambdas(f"{head}\n{body}".strip())
 
 
 def _lambdas(text: str) -> str:
