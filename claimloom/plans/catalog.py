@@ -7,7 +7,9 @@ import importlib
 from claimloom.plans.registry import ORACLES, QUERIES, sql
 
 FLAGSHIP = "k07_rerank_hybrid"
-MODULES = ("text_queries", "retrieval_queries", "ingest_queries", "report_queries", "history_queries")
+MODULES = (
+    "text_queries", "retrieval_queries", "ingest_queries", "report_queries", "history_queries", "dedup_queries",
+)
 
 for _module in MODULES:
     importlib.import_module(f"claimloom.plans.{_module}")
