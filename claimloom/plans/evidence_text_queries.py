@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from claimloom.functions import text as tx
 from claimloom.operators import facts as fc
 from claimloom.operators import quotes as qt
 from claimloom.plans import bindings as b
@@ -84,7 +85,6 @@ def verify_quotes(spark, d):
 
 @query("q02_lcs_window")
 def lcs_window(spark, d):
-    from claimloom.functions import text as tx
 
     p = item_pairs(spark, d).select("pair_id", tx.norm_quote(F.col("quote")).alias("nq"), tx.norm_quote(F.col("reference_text")).alias("nt"))
     return qt.lcs_window(p.filter("nq <> '' AND nt <> ''")).select("pair_id", F.round("ratio", 6).alias("ratio"), "offset")
@@ -360,3 +360,49 @@ def merge_facts(spark, d):
         F.when(F.col("event_type") == "click", F.col("value")).alias("facts"), F.lit("m").alias("model_used"), F.col("event_id").alias("updated_at"),
     )
     return fc.merge_facts(rows.filter("updated_at % 2 = 0"), rows.filter("updated_at % 2 = 1")).select("reference_id", "extraction_status", "facts")
+
+
+# ---- the cascade ----
+
+
+def cascade_inputs(spark, d):
+    """Claims of every fourth conversation cite the opening words of their library document."""
+    c = b.claim_vectors(spark, d)
+    conv = F.floor(F.col("claim_id") / 1000)
+    cited = F.when(conv % 4 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    claims = c.withColumn("doc", F.col("claim_id")).withColumn("region", F.lit("slide")).withColumn("y", F.lit(10.0)).withColumn("ref_numbers", cited)
+    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("conv"), F.lower(F.substring("text", 1, 60)).alias("citation_text"))
+    pool = c.withColumn("conv", conv).join(docs, "conv").select(
+        F.col("claim_id").alias("doc"), "page", F.lit("slide").alias("region"), F.lit(1).alias("ref_no"), "citation_text")
+    return claims, pool
+
+
+_CSTOP = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOP_WORDS) + "]"
+fragment(
+    "cited_settled",
+    f"""SELECT claim_id, reference_id, 1.0::DOUBLE AS confidence FROM (
+      SELECT claim_id, reference_id, ws, len(list_filter(ws, w -> contains(lower(display_alias || ' ' || substring(content_text, 1, 500)), w)))::DOUBLE / nullif(len(ws), 0) AS score
+      FROM (SELECT claim_id, brand, list_filter(regexp_split_to_array(trim(lower(substring(t.text, 1, 60))), '\\s+'), w -> length(w) > 3 AND NOT list_contains({_CSTOP}, w)) AS ws, lower(substring(t.text, 1, 60)) AS raw
+        FROM claims JOIN documents t ON t.doc_id = claim_id // 1000 WHERE (claim_id // 1000) % 4 = 0) JOIN refs USING (brand) WHERE length(trim(raw)) >= 10)
+    WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, reference_id) = 1""",
+    "claims", "refs",
+)
+
+
+@query(
+    "k16_match_claims",
+    """WITH found AS (SELECT claim_id, 'citation-scoped' AS match_tier, reference_id, confidence AS c, 1 AS o FROM cited_settled
+      UNION ALL SELECT claim_id, 'fact-anchored', reference_id, similarity, 2 FROM fact_anchor
+      UNION ALL SELECT claim_id, 'verified-extraction', reference_id, match_confidence, 3 FROM extraction
+      UNION ALL SELECT claim_id, 'semantic-direct-fallback', reference_id, hybrid_score, 4 FROM fallback)
+    SELECT claim_id, f.match_tier IS NOT NULL AS matched, f.match_tier, f.reference_id, round(f.c, 6) AS match_confidence, CASE WHEN f.match_tier IS NOT NULL THEN 'matched' ELSE 'no-match' END AS reason
+    FROM claims LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY o) = 1) f USING (claim_id)""",
+    ("cited_settled", "fact_anchor", "extraction", "fallback", "claims"),
+)
+def match_claims(spark, d):
+    from claimloom.operators import cascade
+
+    claims, pool = cascade_inputs(spark, d)
+    _, quotes, _ = model_quotes(spark, d)
+    out = cascade.match_claims(claims, b.documents(spark, d), b.passages(spark, d), b.fact_sets(spark, d), quotes, pool)
+    return out.withColumn("match_confidence", F.round("match_confidence", 6))
