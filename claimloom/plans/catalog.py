@@ -9,7 +9,7 @@ from claimloom.plans.registry import ORACLES, QUERIES, sql
 FLAGSHIP = "k07_rerank_hybrid"
 MODULES = (
     "text_queries", "retrieval_queries", "ingest_queries", "report_queries", "history_queries", "dedup_queries",
-    "evidence_text_queries", "citation_queries", "evidence_queries", "placement_queries", "onpage_queries",
+    "evidence_text_queries", "citation_queries", "evidence_queries", "placement_queries", "onpage_queries", "streaming_queries",
 )
 
 for _module in MODULES:
