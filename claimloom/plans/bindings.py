@@ -14,7 +14,13 @@ from claimloom.plans.registry import fragment
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents":
+        # one small file would put all text work in one task; a table of many splits is left as it is
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            df = df.repartition(cores, "doc_id")
+    return df
 
 
 # The blank class of the text functions in the oracle's regex dialect.
