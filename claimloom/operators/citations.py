@@ -11,6 +11,7 @@ from claimloom import config
 from claimloom.functions import text as tx
 from claimloom.functions import unicode as un
 from claimloom.operators.postings import substring_hits
+from claimloom.session import durable
 
 # Stop words of metadata tokens, journal words, section headers, surname prefixes, letters.
 METADATA_STOP_WORDS = (
@@ -107,8 +108,20 @@ def best_citation(citations: DataFrame, references: DataFrame, min_score: float
     """
     parsed = citations.withColumn("p", parse_citation(F.col("citation_text"))).filter(F.col("p").isNotNull())
     heads = references.select("reference_id", "brand", reference_head(F.col("display_alias"), F.col("content_text")).alias("head"))
-    needles = citation_needles(parsed)
-    hits = substring_hits(heads, ["reference_id", "brand"], "head", needles.select("needle"))
+    # authors are rare: a pair that has one and beats whatever a pair without it could reach settles its citation
+    named = parsed.filter(F.col("p.author").isNotNull())
+    by_author = _best_of(named, heads, named.select("citation_id", "brand", F.lower("p.author").alias("needle")), min_score)
+    weight = F.when(F.col("p.year").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("p.journal").isNotNull(), 0.2).otherwise(0.0) + F.when(
+        F.col("p.volume").isNotNull() | F.col("p.pages").isNotNull(), 0.1).otherwise(0.0)
+    reach = named.select("citation_id", (weight / (weight + 0.4)).alias("reach"))
+    settled = durable(by_author.join(reach, "citation_id").filter(F.col("confidence") > F.col("reach") + 1e-6).drop("reach"))
+    rest = parsed.join(settled.select("citation_id"), "citation_id", "left_anti")
+    return settled.unionByName(_best_of(rest, heads, citation_needles(rest), min_score))
+
+
+def _best_of(parsed: DataFrame, heads: DataFrame, needles: DataFrame, min_score: float) -> DataFrame:
+    """Best scoring head per citation among the heads that hold one of its needles."""
+    hits = substring_hits(heads, ["reference_id", "brand"], "head", needles, ("brand",))
     pairs = hits.join(needles, ["brand", "needle"]).select("citation_id", "reference_id").distinct()
     scored = (
         pairs.join(parsed.select("citation_id", "p"), "citation_id")

@@ -237,7 +237,7 @@ def keyword_prefilter(claims: DataFrame, references: DataFrame, k: int = 5) -> D
     """References of the brand that share keywords with a claim, best ``k`` by share."""
     kw = claims.select("claim_id", "brand", tx.keywords(F.col("text")).alias("kw")).filter(F.size("kw") > 0)
     needles = kw.select("claim_id", "brand", F.size("kw").alias("n_kw"), F.explode("kw").alias("needle"))
-    hits = substring_hits(references, ["reference_id", "brand"], "content_text", needles.select("needle"))
+    hits = substring_hits(references, ["reference_id", "brand"], "content_text", needles, ("brand",))
     pairs = hits.join(needles, ["brand", "needle"])
     scored = pairs.groupBy("claim_id", "reference_id", "n_kw").agg(F.count("*").alias("hits")).select(
         "claim_id", "reference_id", (F.col("hits") / F.col("n_kw")).alias("score")
@@ -298,7 +298,7 @@ def fact_keyword_tier(claims: DataFrame, facts: DataFrame, feedback: DataFrame,
     """
     n = facts.withColumn("n_kw", F.size(F.array_distinct("keywords"))).filter("n_kw > 0")
     needles = n.select("reference_id", "brand", "fact_no", "n_kw", F.explode(F.array_distinct("keywords")).alias("needle"))
-    hits = substring_hits(claims, ["claim_id", "brand"], "text", needles.select("needle"))
+    hits = substring_hits(claims, ["claim_id", "brand"], "text", needles, ("brand",))
     found = hits.join(needles, ["brand", "needle"])
     share = found.groupBy("claim_id", "reference_id", "fact_no", "n_kw").agg(F.count("*").alias("hits"))
     scored = share.withColumn("share", F.col("hits") / F.col("n_kw"))
