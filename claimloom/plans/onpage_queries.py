@@ -271,5 +271,6 @@ def lines_with_refs(spark, d):
     big = t.select(F.col("doc_id").alias("doc"), line_page(), (F.col("line_no") * 2).alias("token_no"), F.lit("word").alias("text"), F.lit(5.0).alias("x"), y.alias("y"), F.lit(2.0).alias("height"))
     small = t.filter("line_no % 3 = 0").select(F.col("doc_id").alias("doc"), line_page(), (F.col("line_no") * 2 + 1).alias("token_no"), s((F.col("doc_id") + F.col("line_no")) % 6 + 1).alias("text"), F.lit(62.0).alias("x"),
                                                (y - 0.5).alias("y"), F.lit(1.0).alias("height"))
-    out = op.lines_with_refs(lines, big.unionByName(small))
+    # two words per line, so that full-size tokens are the majority on every page
+    out = op.lines_with_refs(lines, big.unionByName(big).unionByName(small))
     return out.select("doc", "page", "line_no", F.array_join("refs", ",").alias("refs"))
