@@ -42,11 +42,11 @@ def fold(id_col: str, residue: int, modulus: int) -> Column:
 
 def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
     """``fn`` takes one record batch as a dict of Python lists and yields dicts of columns of the schema."""
-    names = [x.strip().split(" ")[0] for x in schema.split(",")]
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
     wanted = StructType.fromDDL(schema)
+    names = wanted.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(wanted)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, mixing, packing
+from claimloom.llm import exact_dedup, mixing, packing, quality, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -76,3 +76,13 @@ def _op9_pieces(docs: DataFrame) -> DataFrame:
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_op9_pieces(table(spark, sf_dir, "documents")), 2048)
+
+
+@register("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0, 5)
+
+
+@register("op6_quality")
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 2, 4, 0.7)
