@@ -8,6 +8,8 @@ Packing runs in shards of a bounded number of pieces: a shard wastes at most a p
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -20,24 +22,45 @@ from claimloom.session import durable
 
 SHARD_PIECES = 20_000
 # Words a worker remembers the ids of; it starts anew beyond that, so its memory is bounded.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
+# Pre-tokens of printable ASCII text without apostrophes and special tokens.
+_PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_PRINTABLE = re.compile(r"[!-&(-~]+")
+_TAIL = "!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"
 
 
 class _Ids(dict):
-    """Little-endian 32-bit ids of blank-free words; the tokenizer never joins text across blanks."""
+    """Little-endian 32-bit ids of blank-free words.
+
+    The tokenizer lowers case and splits at blanks and between letters, single digits and other characters; so parts of a word
+    are looked up on their own, and only new ones go through the model.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             self.clear()
-        ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if _PRINTABLE.fullmatch(word) and "<|" not in word:
+            parts = _PARTS.findall(word.lower())
+            ids = self._encode([t.id for t in self.model.tokenize(parts[0])]) if parts == [word] else b"".join(self[p] for p in parts)
+        else:
+            core = word.rstrip(_TAIL)
+            if core != word and core and core[-1].isalpha():
+                ids = self[core] + self[word[len(core) :]]
+            else:
+                ids = self._encode(self.tokenizer.encode(word, add_special_tokens=False).ids)
         self[word] = ids
         return ids
 
+    @staticmethod
+    def _encode(ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
+
 
 _WORKER: dict[str, _Ids] = {}
 
@@ -130,7 +153,7 @@ def pack(parts: DataFrame, tokens: int, documents: int | None = None, cost: floa
     shards = max(1, -(-parts.count() // shard_pieces))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable").drop(columns="shard")
         bins, offsets = best_fit(rows["length"].to_numpy(), tokens, documents, cost, weights, rule)
         return rows.assign(sequence_id=bins + (int(key[0]) << 32), offset=offsets)
