@@ -9,7 +9,7 @@ from claimloom.llm import quality, toxicity
 SCHEMA = "doc_id long, text string, score string, held_out int"
 
 
-def corpus(bad, n=500, seed=1):
+def corpus(bad, n=500, seed=1, every=0):
     rnd = random.Random(seed)
     plain = [f"w{i}" for i in range(60)]
     docs, labels = [], []
@@ -18,6 +18,8 @@ def corpus(bad, n=500, seed=1):
         y = i % 4 == 0
         if y:
             words[rnd.randrange(len(words))] = rnd.choice(bad) + rnd.choice(["", ",", "!"])
+            for k in range(0, len(words), every) if every else ():
+                words[k] = bad[0]
         docs.append((i, " ".join(words), "x", 1))
         labels.append((i, 0 if y else 1, int(y)))
     docs += [(9001, None, "x", 1), (9002, "", None, None), (None, "w1 awful w2", "n", 0), (9003, "w1 " * 30_000 + "awful", "l", 1), (9004, "w1 w2", "x", 1), (9004, "w1 w2", "x", 1)]
@@ -59,7 +61,7 @@ def test_labels_of_held_out_rows_change_nothing(spark):
 
 
 def test_quality_held_out_accuracy_and_edges(spark):
-    docs, labels = corpus(["zzz", "qqq"], 800)
+    docs, labels = corpus(["zzz", "qqq"], 800, every=5)
     frame, marks = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = quality.classify(frame, marks, 2, 4, 0.7).collect()
     truth = {i: q for i, q, _ in labels if q is not None}
