@@ -22,13 +22,16 @@ def _positions(h: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(h, F.lit(k)), F.lit(BLOCK_BITS)).cast("int") for k in (2, 3)]
 
 
-def repeated(rows: DataFrame, col: str, log2_bits: int = LOG2_BITS) -> DataFrame:
-    """First pass: block and bits of the filter.  Each task adds up its rows per bit before anything moves."""
+def repeated(rows: DataFrame, col: str, log2_bits: int = LOG2_BITS, least: int = 2) -> DataFrame:
+    """First pass: block and bits of the filter.  Each task adds up its rows per bit before anything moves.
+
+    ``least`` rows must hit a bit to set it: 2 for a filter of repeated values, 1 for a filter of all values.
+    """
     hits = rows.select(
         _block(F.col(col), log2_bits).alias("bloom_block"),
         F.explode(F.array_distinct(F.array(*_positions(F.col(col))))).alias("bloom_bit"),
     )
-    twice = hits.groupBy("bloom_block", "bloom_bit").count().filter(F.col("count") > 1)
+    twice = hits.groupBy("bloom_block", "bloom_bit").count().filter(F.col("count") >= least)
     return twice.groupBy("bloom_block").agg(F.bitmap_construct_agg(F.col("bloom_bit").cast("long")).alias("bloom_bits"))
 
 

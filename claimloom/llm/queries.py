@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, mixing, packing, quality, toxicity
+from claimloom.llm import exact_dedup, jaccard_join, mixing, packing, quality, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -86,3 +86,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op6_quality")
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 2, 4, 0.7)
+
+
+@register("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"))
