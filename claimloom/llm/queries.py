@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, jaccard_join, mixing, packing, quality, toxicity
+from claimloom.llm import exact_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -91,3 +91,8 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op4_ngram_jaccard")
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link(table(spark, sf_dir, "documents"))
+
+
+@register("op10_suffix_dedup")
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
