@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import exact_dedup, jaccard_join, mixing, packing, quality, suffix_dedup, toxicity
+from claimloom.llm import ann, exact_dedup, jaccard_join, mixing, packing, pii, quality, suffix_dedup, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -96,3 +96,15 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@register("op5_nearest_neighbours")
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+@register("op8_pseudonyms")
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # a user passes a secret key; this one only makes runs comparable
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), b"claimloom demonstration key")
