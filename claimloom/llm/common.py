@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 # A word is a run of anything but the ASCII blanks.
 BLANKS = "\\x20\\x09-\\x0D"
 WORD = f"[^{BLANKS}]+"
-_BLANK_TABLE = {i: " " for i in (9, 10, 11, 12, 13)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,9 +21,9 @@ def words_of(text: str | None) -> list[str]:
     """The words of a text; only ASCII blanks separate (``str.split()`` alone would also split at other blanks)."""
     if not text:
         return []
-    if text.isascii() and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-        return text.split()
-    return [w for w in text.translate(_BLANK_TABLE).split(" ") if w]
+    # splitting bytes knows the ASCII blanks only
+    parts = text.encode("utf-8", "surrogatepass").split()
+    return b" ".join(parts).decode("utf-8", "surrogatepass").split(" ") if parts else []
 
 
 UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))

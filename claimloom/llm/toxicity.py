@@ -7,9 +7,11 @@ forward and backward over every token of every text, and its marginals give the
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from collections import Counter
+from string import punctuation
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -24,12 +26,16 @@ EPOCHS = 6
 RATE = 0.5
 L2 = 1e-4
 # Words of the documents that go through the recursions together: bounds the memory of a task.
-TOKENS_AT_ONCE = 250_000
+TOKENS_AT_ONCE = 400_000
+# Tokens of one segment of a document.
+SEGMENT = 256
 _EDGE = re.compile(r"^\W+|\W+$")
 
 
 def shape(word: str) -> str:
     """Lower case without punctuation at the ends."""
+    if word.isascii():
+        return word.lower().strip(punctuation) or word
     return _EDGE.sub("", lower_ascii(word)) or word
 
 
@@ -77,59 +83,151 @@ def toxic_words(rows: list[tuple[str, int]], precision: float = 0.9) -> set[str]
 
 
 class Packed:
-    """Token arrays of several documents laid out by position, longest document first, so that one step of a recursion
-    is one slice."""
-
-    def __init__(self, lengths: np.ndarray):
-        self.order = np.argsort(-lengths, kind="stable")
-        falling = lengths[self.order]
-        longest = int(falling[0]) if len(falling) else 0
-        self.width = np.searchsorted(-falling, -np.arange(longest), side="left")
-        self.start = np.r_[0, np.cumsum(self.width)]
-        rank = np.empty(len(lengths), np.int64)
-        rank[self.order] = np.arange(len(lengths))
-        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        self.at = self.start[position] + np.repeat(rank, lengths)
+    """Token arrays of several documents laid out so that one step of a recursion is one slice.
+
+    Documents are cut in segments of at most SEGMENT tokens, the longest first, by place in the segment.  The recursions run over
+    all segments at once; what enters a segment comes from the products of the matrices of those before (or after) it, so
+    the marginals are those of the whole document.
+    """
+
+    def __init__(self, lengths: np.ndarray, segment: int = SEGMENT):
+        count = -(-lengths // segment)
+        self.place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        sizes = np.minimum(segment, np.repeat(lengths, count) - self.place * segment)
+        self.last = self.place == np.repeat(count - 1, count)
+        self.order = np.argsort(-sizes, kind="stable")
+        self.sizes = sizes[self.order]
+        longest = int(self.sizes[0]) if len(sizes) else 0
+        self.width = np.searchsorted(-self.sizes, -np.arange(longest), side="left").tolist()
+        self.start = np.r_[0, np.cumsum(self.width)].astype(np.int64).tolist()
+        self.rank = np.empty(len(sizes), np.int64)
+        self.rank[self.order] = np.arange(len(sizes))
+        position = np.arange(lengths.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.at = np.array(self.start)[position] + np.repeat(self.rank, sizes)
+        self.first = self.place[self.order] == 0
+        self.chained = bool(len(count)) and int(count.max()) > 1
+
+    def _entering(self, e: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Forward vector before and backward vector at the end of each segment, in packed order."""
+        n = len(self.order)
+        before, behind = np.full((n, 2), 0.5), np.ones((n, 2))
+        if not self.chained:
+            return before, behind
+        product = m[None] * e[:n, None, :]
+        for t in range(1, len(self.width)):
+            a, w = self.start[t], self.width[t]
+            x = (product[:w] @ m) * e[a : a + w, None, :]
+            product[:w] = x / x.max((1, 2), keepdims=True)
+        product[self.first] = 0
+        for step in range(1, int(self.place.max()) + 1):
+            now = np.flatnonzero(self.place == step)
+            here, prior = self.rank[now], self.rank[now - 1]
+            if step == 1:
+                x = self._first_segments(e, m, prior)
+            else:
+                x = (before[prior][:, None, :] @ product[prior])[:, 0]
+            before[here] = x / x.sum(1, keepdims=True)
+        for step in range(int(self.place.max()), 0, -1):
+            now = np.flatnonzero(self.place == step)
+            here, prior = self.rank[now], self.rank[now - 1]
+            x = (product[here] @ behind[here][:, :, None])[:, :, 0]
+            behind[prior] = x / x.sum(1, keepdims=True)
+        return before, behind
+
+    def _first_segments(self, e: np.ndarray, m: np.ndarray, which: np.ndarray) -> np.ndarray:
+        """Forward vectors at the end of full first segments."""
+        x = e[which]
+        for t in range(1, len(self.width)):
+            x = (x @ m) * e[self.start[t] + which]
+            x = x / x.sum(1, keepdims=True)
+        return x
 
     def marginals(self, emission: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """P(toxic) of each packed token, and the expected number of each of the four tag pairs."""
-        total = len(emission)
+        total, n = len(emission), len(self.order)
         e = np.ones((total, 2))
         e[:, 1] = np.exp(np.clip(emission, -30, 30))
         m = np.exp(move)
+        before, behind = self._entering(e, m)
         forward, backward = np.empty((total, 2)), np.ones((total, 2))
-        steps = len(self.width)
-        for t in range(steps):
-            a, w = self.start[t], self.width[t]
-            x = e[a : a + w] if t == 0 else (forward[self.start[t - 1] : self.start[t - 1] + w] @ m) * e[a : a + w]
-            forward[a : a + w] = x / x.sum(1, keepdims=True)
+        back = m.T.copy()
         pairs = np.zeros((2, 2))
-        for t in range(steps - 1, 0, -1):
-            a, w, p = self.start[t], self.width[t], self.start[t - 1]
+        for t, w in enumerate(self.width):
+            a = self.start[t]
+            if t:
+                p = self.start[t - 1]
+                x = (forward[p : p + w] @ m) * e[a : a + w]
+            else:
+                x = np.where(self.first[:, None], 1.0, before @ m) * e[:n]
+            x /= x[:, :1] + x[:, 1:]
+            forward[a : a + w] = x
+        if n:
+            backward[np.array(self.start)[self.sizes - 1] + np.arange(n)] = behind
+        for t in range(len(self.width) - 1, -1, -1):
+            a, w = self.start[t], self.width[t]
             x = e[a : a + w] * backward[a : a + w]
-            f = forward[p : p + w]
-            y = x @ m.T
-            z = (f * y).sum(1)
-            pairs += (f / z[:, None]).T @ x * m
-            backward[p : p + w] = y / y.sum(1, keepdims=True)
+            y = x @ back
+            f = forward[self.start[t - 1] : self.start[t - 1] + w] if t else before
+            scaled = f / ((f * y).sum(1, keepdims=True))
+            if t:
+                backward[self.start[t - 1] : self.start[t - 1] + w] = y / (y[:, :1] + y[:, 1:])
+            else:
+                scaled = scaled[~self.first]
+                x = x[~self.first]
+            pairs += scaled.T @ x * m
         both = forward * backward
         return both[:, 1] / both.sum(1), pairs
 
 
+# Words that a worker remembers between the tasks of one model: bounds its memory.
+KNOWN_WORDS = 700_000
+_KNOWN: dict[str, "_Rows"] = {}
+
+
 class _Rows(dict):
-    """Row number of each word; new words get the next row and the slots of their features."""
+    """Row number of each word; a new word gets the next row, with the slots of its features and their summed weights."""
 
-    def __init__(self, slot_of: dict[str, int]):
-        self.slot_of = slot_of
-        self.slots: list[list[int]] = []
+    def __init__(self, slot_of: dict[str, int], weight: np.ndarray):
+        self.slot_of, self.weight = slot_of, weight
+        self.new: list[list[int]] = []
+        self.slots = np.zeros((0, 3 + len(PREFIXES)), np.int32)
+        self.sums = np.zeros((0, 3))
 
     def __missing__(self, word: str) -> int:
         own = features(word)
-        at = [self.slot_of.get(f, 0) for f in own]
-        self.slots.append(at + [0] * (1 + len(PREFIXES) - len(at)) + [self.slot_of.get(mark + own[0], 0) for mark in "<>"])
-        self[word] = len(self.slots) - 1
+        find = self.slot_of.get
+        at = [find(f, 0) for f in own]
+        self.new.append(at + [0] * (1 + len(PREFIXES) - len(at)) + [find(">" + own[0], 0), find("<" + own[0], 0)])
+        self[word] = len(self.slots) + len(self.new) - 1
         return self[word]
 
+    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of all words, document after document, and the lengths of the documents."""
+        if len(self) > KNOWN_WORDS:
+            self.__init__(self.slot_of, self.weight)
+            self.clear()
+        words = [words_of(t) for t in texts]
+        lengths = np.array([len(w) for w in words], np.int64)
+        rows = np.concatenate([np.fromiter(map(self.__getitem__, w), np.int64, len(w)) for w in words] or [np.zeros(0, np.int64)])
+        if self.new:
+            fresh = np.array(self.new, np.int32)
+            self.slots = np.concatenate([self.slots, fresh])
+            w = self.weight[fresh]
+            self.sums = np.concatenate([self.sums, np.stack([w[:, :-2].sum(1), w[:, -2], w[:, -1]], 1)])
+            self.new = []
+        return rows, lengths
+
+
+def _neighbours(values: np.ndarray, before: np.ndarray, after: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token what the words before and after it contribute (0 at the ends of a document)."""
+    left, right = np.zeros_like(before[values]), np.zeros_like(after[values])
+    if len(values):
+        left[1:], right[:-1] = before[values[:-1]], after[values[1:]]
+        ends, some = np.cumsum(lengths), lengths > 0
+        left[(ends - lengths)[some]] = 0
+        right[ends[some] - 1] = 0
+    return left, right
+
 
 class Field:
     """A weight per feature seen in training (slot 0 stands for all others and stays 0), a bias and the tag moves."""
@@ -138,34 +236,23 @@ class Field:
         self.slot_of: dict[str, int] = {}
         self.weight, self.bias, self.move, self.scale = np.zeros(1), -4.0, np.zeros((2, 2)), (0.5, -3.0)
 
-    def slots(self, texts: list[str], known: _Rows) -> tuple[np.ndarray, np.ndarray]:
-        """Feature slots of all tokens, document after document (the last two: word before and after), and the lengths."""
-        words = [words_of(t) for t in texts]
-        lengths = np.array([len(w) for w in words], np.int64)
-        rows = np.concatenate([np.fromiter(map(known.__getitem__, w), np.int64, len(w)) for w in words] or [np.zeros(0, np.int64)])
-        table = np.array(known.slots or [[0] * (3 + len(PREFIXES))], np.int32)
-        out = table[rows].T.copy()
-        out[-2, 1:], out[-1, :-1] = table[rows[:-1], -2], table[rows[1:], -1]
-        ends, some = np.cumsum(lengths), lengths > 0
-        out[-2, (ends - lengths)[some]] = 0
-        out[-1, ends[some] - 1] = 0
-        return out, lengths
-
-    def emission(self, slots: np.ndarray) -> np.ndarray:
-        return self.bias + self.weight[slots].sum(0)
-
     def token_marginals(self, texts: list[str]) -> list[np.ndarray]:
         """P(toxic) of each word of each text; documents of like length run together."""
         out: list[np.ndarray] = [np.zeros(0)] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         group, size = [], 0
-        known = _Rows(self.slot_of)
+        name = hashlib.sha256(self.weight.tobytes() + "\n".join(self.slot_of).encode("utf-8", "surrogatepass")).hexdigest()
+        if name not in _KNOWN:
+            _KNOWN.clear()
+            _KNOWN[name] = _Rows(self.slot_of, self.weight)
+        known = _KNOWN[name]
 
         def flush():
-            slots, lengths = self.slots([texts[i] for i in group], known)
+            rows, lengths = known.of([texts[i] for i in group])
+            left, right = _neighbours(rows, known.sums[:, 1], known.sums[:, 2], lengths)
             packed = Packed(lengths)
-            e = np.empty(slots.shape[1])
-            e[packed.at] = self.emission(slots)
+            e = np.empty(len(rows))
+            e[packed.at] = self.bias + known.sums[rows, 0] + left + right
             p = packed.marginals(e, self.move)[0][packed.at] if len(e) else e
             for i, part in zip(group, np.split(p, np.cumsum(lengths)[:-1])):
                 out[i] = part
@@ -193,10 +280,11 @@ class Field:
         kept = sorted(f for f, n in seen_in.items() if n > 1)
         self.slot_of = {f: i + 1 for i, f in enumerate(kept + [m + f for m in "<>" for f in kept if f[0] == "0"])}
         self.weight = np.zeros(len(self.slot_of) + 1)
-        known, ready = _Rows(self.slot_of), []
+        known, ready = _Rows(self.slot_of, self.weight), []
         for b in (chosen[i : i + 40] for i in range(0, len(chosen), 40)):
-            slots, lengths = self.slots(b, known)
-            if slots.shape[1]:
+            words, lengths = known.of(b)
+            if len(words):
+                slots = np.concatenate([known.slots[words, :-2].T, np.stack(_neighbours(words, known.slots[:, -2], known.slots[:, -1], lengths))])
                 tags = np.array([shape(w) in marked for t in b for w in words_of(t)], np.float64)
                 ready.append((slots, lengths, Packed(lengths), tags))
         g_weight, g_rest = np.full(len(self.weight), 1e-6), np.full(5, 1e-6)
@@ -204,7 +292,7 @@ class Field:
             for k in rnd.permutation(len(ready)):
                 slots, lengths, packed, tags = ready[k]
                 e = np.empty(len(tags))
-                e[packed.at] = self.emission(slots)
+                e[packed.at] = self.bias + self.weight[slots].sum(0)
                 p, pairs = packed.marginals(e, self.move)
                 miss = (tags - p[packed.at]) / len(lengths)
                 seen = np.zeros((2, 2))

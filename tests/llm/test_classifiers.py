@@ -75,13 +75,17 @@ def test_quality_held_out_accuracy_and_edges(spark):
 
 def test_recursions_equal_the_sum_over_all_taggings():
     rnd = np.random.default_rng(4)
-    lengths = np.array([3, 0, 5, 1])
-    emission, move = rnd.normal(size=9), rnd.normal(size=(2, 2))
-    packed = toxicity.Packed(lengths)
-    e = np.empty(9)
-    e[packed.at] = emission
-    p, pairs = packed.marginals(e, move)
-    p = p[packed.at]
+    lengths = np.array([3, 0, 7, 1, 4])
+    emission, move = rnd.normal(size=15), rnd.normal(size=(2, 2))
+    for segment in (1, 2, 3, 256):
+        packed = toxicity.Packed(lengths, segment)
+        e = np.empty(15)
+        e[packed.at] = emission
+        p, pairs = packed.marginals(e, move)
+        check_taggings(lengths, emission, move, p[packed.at], pairs)
+
+
+def check_taggings(lengths, emission, move, p, pairs):
     want_pairs, at = np.zeros((2, 2)), 0
     for n in lengths:
         total, on, moves = 0.0, np.zeros(n), np.zeros((2, 2))
