@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, exact_dedup, jaccard_join, mixing, packing, pii, quality, suffix_dedup, toxicity
+from claimloom.llm import ann, exact_dedup, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -108,3 +108,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a user passes a secret key; this one only makes runs comparable
     return pii.pseudonymise(table(spark, sf_dir, "documents"), b"claimloom demonstration key")
+
+
+@register("op7_lm_scoring")
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
