@@ -27,19 +27,23 @@ def local_session(cores: str = "8", app: str = "claimloom", memory: str = "12g")
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder of the session.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    The folder comes from ``spark.checkpoint.dir``.  A temporary folder is set only where
-    the session has none and runs locally.
+    Only a local session that names none (tests, the bench) gets a temporary one.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        spark.conf.set("claimloom.local.folder", spark.conf.get("claimloom.local.folder", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        folder = spark.conf.get("claimloom.local.folder")
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder of the session."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
