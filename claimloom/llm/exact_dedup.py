@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from claimloom.llm import bloom
 
 
+# Groups of copies that are broadcast, the largest first.
+HOT_GROUPS = 1_000
+
+
 def _sha(text_col: str):
     return F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)
 
@@ -36,8 +40,12 @@ def mark(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", log2_bit
     rows = df.select(F.col(id_col).alias("id"), _sha(text_col).alias("sha"))
     unique, candidates, groups = _split(rows, log2_bits)
     alone = unique.select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha")
-    # a hot group is one key of this join; adaptive execution splits its partition
-    grouped = candidates.join(groups, "sha").select("id", "keep_id", "group_size", "sha")
+    # groups that could fill a task meet their rows by broadcast: no more than HOT_GROUPS rows
+    hot = groups.orderBy(F.desc("group_size"), "sha").limit(HOT_GROUPS)
+    by_hot = candidates.join(F.broadcast(hot), "sha", "left")
+    rest = by_hot.filter("group_size is null").select("id", "sha").join(groups, "sha")
+    columns = ["id", "keep_id", "group_size", "sha"]
+    grouped = by_hot.filter("group_size is not null").select(columns).unionByName(rest.select(columns))
     return alone.unionByName(grouped).select(
         F.col("id").alias(id_col), "keep_id", "group_size", F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
