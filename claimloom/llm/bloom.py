@@ -46,3 +46,16 @@ def maybe_repeated(rows: DataFrame, col: str, bits: DataFrame, flag: str, log2_b
     first, second = _positions(F.col(col))
     hit = F.coalesce(_bit(first) & _bit(second), F.lit(False))
     return keyed.join(F.broadcast(bits), "bloom_block", "left").withColumn(flag, hit).drop("bloom_block", "bloom_bits")
+
+
+def without(df: DataFrame, ids: DataFrame, col: str, log2_bits: int = LOG2_BITS) -> DataFrame:
+    """The rows of ``df`` whose ``col`` is not among ``ids`` (one column); null is never among them.
+
+    Rows that miss the filter of the ids pass straight through; only the others go into an anti-join.
+    """
+    gone = ids.select(ids[ids.columns[0]].alias("bloom_gone")).filter("bloom_gone is not null")
+    rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("bloom_row"), df[col].alias("bloom_key"))
+    bits = repeated(gone, "bloom_gone", log2_bits, least=1)
+    probed = maybe_repeated(rows, "bloom_key", bits, "bloom_hit", log2_bits)
+    doubtful = probed.filter("bloom_hit").join(gone, F.col("bloom_key") == F.col("bloom_gone"), "left_anti")
+    return probed.filter("not bloom_hit").select("bloom_row").unionByName(doubtful.select("bloom_row")).select("bloom_row.*")

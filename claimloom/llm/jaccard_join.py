@@ -356,9 +356,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule: Rule = Rule()) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's: one document of each group, with all columns.
+    """One document of each group, the one whose id is the component's, with all columns.
 
-    Rows whose id is null and that no component with an id holds stay as well.
+    Rows of a null id stay.  Of several rows of one id all stay if one does.
     """
-    ids = link(docs, id_col, text_col, rule).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
+    linked = durable(link(docs, id_col, text_col, rule))
+    stays = F.max(F.col(id_col) == F.col("component_id"))
+    return bloom.without(docs, linked.groupBy(id_col).agg(stays.alias("stays")).filter("not stays").select(id_col), id_col)

@@ -8,11 +8,14 @@ number does not follow the number of documents.  Which documents of a pattern ar
 
 from __future__ import annotations
 
+import json
 from collections import deque
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimloom.session import durable
+
 MAX_REPEATS = 3
 SEED = "mix-1"
 # Documents of a pattern are ordered by a seeded digest; its first three hexadecimal digits name one of 4096 buckets.
@@ -104,14 +107,17 @@ def route(patterns: dict, quotas: dict, repeats: int = MAX_REPEATS) -> dict:
     return {p: {s: flow.room[routes[p, s] ^ 1] for s in p if s in at} for p in names}
 
 
+def _digest(seed: str):
+    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
+
+
 def take(docs: DataFrame, tokens: DataFrame, seed: str = SEED) -> DataFrame:
     """How much of each document (id, pattern, size) is taken when its pattern gives ``tokens`` (pattern, copies, rest).
 
-    Adds ``taken``: ``copies`` times the size, and once more for the documents that come first in the seeded order until
-    ``rest`` tokens are reached; the last of them gives only its first tokens.
+    Adds ``copies``, ``part`` and ``taken`` = copies * size + part: all documents of a pattern are taken ``copies`` times, and
+    once more those that come first in the seeded order, until ``rest`` tokens are reached; the last gives only its first tokens.
     """
-    digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.withColumn("digest", digest).withColumn("bucket", F.substring("digest", 1, DIGITS))
+    keyed = docs.withColumn("digest", _digest(seed)).withColumn("bucket", F.substring("digest", 1, DIGITS))
     sums = keyed.groupBy("pattern", "bucket").agg(F.sum("size").alias("bucket_size"))
     # at most 4096 rows per pattern
     earlier = Window.partitionBy("pattern").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -121,7 +127,7 @@ def take(docs: DataFrame, tokens: DataFrame, seed: str = SEED) -> DataFrame:
     within = Window.partitionBy("pattern", "bucket").orderBy("digest", "id").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(starts, ["pattern", "bucket"]).withColumn("before", F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
-    return placed.select("id", "pattern", "size", (F.col("copies") * F.col("size") + part).cast("long").alias("taken"))
+    return placed.select("id", "pattern", "size", "digest", "copies", part.alias("part"), (F.col("copies") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, quotas: dict, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
@@ -131,15 +137,36 @@ def mix(docs: DataFrame, quotas: dict, repeats: int = MAX_REPEATS, seed: str = S
     Sources may be null entries.  Documents without sources, or of size 0 or null, give nothing.  Rows that repeat
     an id are separate documents.  The same input and seed give the same result.
     """
-    named = docs.select(
-        "id", F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>")))).alias("sources"),
-        F.coalesce("size", F.lit(0)).cast("long").alias("size"),
-    ).withColumn("pattern", F.to_json("sources"))
-    totals = named.groupBy("pattern", "sources").agg(F.sum("size").alias("n")).collect()
-    given = route({tuple(r.sources): r.n for r in totals}, quotas, repeats)
-    rows = []
-    for r in totals:
-        got = sum(given[tuple(r.sources)].values())
-        rows.append((r.pattern, *(divmod(got, r.n) if r.n else (0, 0))))
-    tokens = docs.sparkSession.createDataFrame(rows, "pattern string, copies long, rest long")
-    return take(named.select("id", "pattern", "size"), tokens, seed)
+    named = _named(docs)
+    return take(named, _tokens(named, quotas, repeats), seed).select("id", "pattern", "size", "taken")
+
+
+def _named(docs: DataFrame) -> DataFrame:
+    sources = F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>"))))
+    return docs.select("id", F.to_json(sources).alias("pattern"), F.coalesce("size", F.lit(0)).cast("long").alias("size"))
+
+
+def _tokens(named: DataFrame, quotas: dict, repeats: int) -> DataFrame:
+    """(pattern, copies, rest): what the flow takes of each pattern, as whole passes and the rest."""
+    sizes = {tuple(json.loads(r.pattern)): r.n for r in named.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    given = route(sizes, quotas, repeats)
+    rows = [(json.dumps(list(p), ensure_ascii=False, separators=(",", ":")), *(divmod(sum(given[p].values()), n) if n else (0, 0))) for p, n in sizes.items()]
+    return named.sparkSession.createDataFrame(rows, "pattern string, copies long, rest long")
+
+
+def mixed_rows(docs: DataFrame, id_col: str, sources_col, size_col, quotas: dict, repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    Documents stay whole: the one that :func:`take` would cut is taken if at least half of it would be.  Each row decides by
+    its own digest and the limit of its pattern, so texts are not shuffled.
+    """
+    narrow = durable(_named(docs.select(docs[id_col].alias("id"), sources_col.alias("sources"), size_col.alias("size"))))
+    tokens = _tokens(narrow, quotas, repeats)
+    order = F.struct(F.col("digest"), F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))).alias("i"))
+    extra = F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), order)
+    limits = take(narrow, tokens, seed).groupBy("pattern").agg(F.first("copies").alias("copies"), F.max(extra).alias("limit"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"), sources_col.alias("sources"), F.lit(0).alias("size"))
+    rows = rows.select("row", "id", F.to_json(F.array_sort(F.array_distinct(F.coalesce("sources", F.array().cast("array<string>"))))).alias("pattern"))
+    times = F.col("copies") + F.coalesce((order <= F.col("limit")).cast("int"), F.lit(0))
+    placed = rows.withColumn("digest", _digest(seed)).join(limits, "pattern").withColumn("times", times.cast("int"))
+    return placed.select("row", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("row.*")

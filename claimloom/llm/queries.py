@@ -34,7 +34,7 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark(table(spark, sf_dir, "documents"))
 
 
-def _source_targets(sizes: dict) -> dict:
+def source_targets(sizes: dict) -> dict:
     order = sorted(sizes, key=lambda s: (s is None, s))
     return mixing.weighted_targets(sizes, {s: i % 3 + 1 for i, s in enumerate(order)})
 
@@ -60,22 +60,22 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     docs = durable(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array("source").alias("sources"), size.alias("size")))
     sizes = {r.source: r.n for r in docs.groupBy(F.col("sources")[0].alias("source")).agg(F.sum("size").alias("n")).collect()}
-    targets = _source_targets(sizes)
+    targets = source_targets(sizes)
     rows = [(s, n, targets[s]) for s, n in sizes.items()]
     by_source = spark.createDataFrame(rows, "source string, source_size long, target double")
     by_source = by_source.withColumn("pattern", F.to_json(F.array("source"))).drop("source")
     return mixing.mix(docs, targets).join(by_source, "pattern").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-def _op9_pieces(docs: DataFrame) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return packing.pack(packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 2048), 2048)
 
 
 @register("op9_packing")
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_op9_pieces(table(spark, sf_dir, "documents")), 2048)
+    return packed(table(spark, sf_dir, "documents"))
 
 
 @register("op3_toxicity")

@@ -11,9 +11,11 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 from string import punctuation
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -370,6 +372,19 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, score double, n_toxic int, spans array<struct<start:int,end:int>>")
 
 
+def keep_clean(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score below the threshold, with all their columns, in one pass without a shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(field)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = model.value
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            yield b.filter(pa.array([f.document_score(p) < threshold for p in f.token_marginals(texts)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train(docs: DataFrame, labels: DataFrame, residue: int, modulus: int, limit: int = SAMPLE) -> Field:
     return Field().fit(sample(docs, labels, "toxic", residue, modulus, True, limit))
 
