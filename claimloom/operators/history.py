@@ -74,20 +74,34 @@ def children(edges: DataFrame) -> DataFrame:
     return rows.select("parent_hash", "document_hash", F.row_number().over(w).alias("child_no"))
 
 
-def ancestors(edges: DataFrame, max_depth: int = 1024) -> DataFrame:
-    """All ancestors with their depth, by doubling the reach each round (log2 of the depth in rounds)."""
-    reach = durable(latest_edges(edges).select("document_hash", F.col("parent_hash").alias("ancestor"), F.lit(1).alias("depth")))
+def ancestors(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """All ancestors with their depth: document_hash, ancestor, depth; of ``documents`` (document_hash) only, where given.
+
+    Each round doubles the reach: a jump table holds every document's ancestor 1, 2, 4, ... steps up, and the ancestors found so
+    far jump once.  Rounds end when nothing new is found, so chains may be of any length and cycles end; a
+    document is not its own ancestor.
+    """
+    jump = durable(latest_edges(edges).select(F.col("document_hash").alias("at"), F.col("parent_hash").alias("to")))
+    first = jump.select(F.col("at").alias("document_hash"), F.col("to").alias("ancestor"), F.lit(1).alias("depth"))
+    if documents is not None:
+        first = first.join(documents.select("document_hash").distinct(), "document_hash", "left_semi")
+    reach = durable(first.filter(~F.col("document_hash").eqNullSafe(F.col("ancestor"))))
     step = 1
-    while step < max_depth:
-        far = reach.filter(F.col("depth") == step).select("document_hash", F.col("ancestor").alias("via"))
-        on = reach.select(F.col("document_hash").alias("via"), "ancestor", F.col("depth").alias("more"))
-        grown = far.join(on, "via").select("document_hash", "ancestor", (F.col("more") + step).alias("depth"))
-        grown = durable(grown.filter(F.col("depth") <= max_depth))
+    while True:
+        far = reach.join(jump, F.col("ancestor") == F.col("at")).select("document_hash", F.col("to").alias("ancestor"), (F.col("depth") + step).alias("depth"))
+        far = far.filter("document_hash <> ancestor").groupBy("document_hash", "ancestor").agg(F.min("depth").alias("depth"))
+        grown = durable(far.join(reach.select("document_hash", "ancestor"), ["document_hash", "ancestor"], "left_anti"))
         if grown.isEmpty():
-            break
-        reach = reach.unionByName(grown)
+            return reach
+        reach = durable(reach.unionByName(grown))
+        on = jump.select(F.col("at").alias("to"), F.col("to").alias("next"))
+        jump = durable(jump.join(on, "to").select("at", F.col("next").alias("to")))
         step *= 2
-    return reach
+
+
+def lineage_by_brand(edges: DataFrame) -> DataFrame:
+    """The edges of every brand, newest first (a sort by range; no brand is gathered in one task)."""
+    return edges.filter(F.col("brand_id").isNotNull()).orderBy("brand_id", F.desc("created_at"), F.desc("edge_id"))
 
 
 # ---- page similarity ----
@@ -155,6 +169,11 @@ def patterns_for(patterns: DataFrame, min_strength: int = 1, top: int = 50) -> D
     return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
 
 
+def patterns_of_type(patterns: DataFrame, pattern_type: str) -> DataFrame:
+    """Patterns of one type that have any strength, without a limit."""
+    return patterns.filter((F.col("pattern_type") == pattern_type) & (F.col("strength") > 0))
+
+
 # ---- results kept between runs ----
 
 

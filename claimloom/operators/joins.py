@@ -31,3 +31,9 @@ def salted_agg(df: DataFrame, keys: list[str], by: list[str], partial: list[Colu
     """Two-step aggregation: first per (key, salt), then per key."""
     first = df.withColumn("_salt", spread(*by, ways=ways)).groupBy(*keys, "_salt").agg(*partial)
     return first.groupBy(*keys).agg(*final)
+
+
+def fetch(rows: DataFrame, wide: DataFrame, on: list[str]) -> DataFrame:
+    """Adds texts or vectors to ``rows``: the wide side is cut down to the wanted keys first and is never copied; a hot key
+    of ``rows`` is split by adaptive execution."""
+    return rows.join(wide.join(rows.select(*on).distinct(), on, "left_semi"), on)

@@ -212,7 +212,7 @@ def usage_cost(usage: DataFrame, prices: DataFrame | None = None) -> DataFrame:
     prices = prices or spark.createDataFrame(list(PRICES), "model string, input_price double, output_price double")
     named = prices.filter(F.col("model") != "default")
     base = prices.filter(F.col("model") == "default").select("input_price", "output_price")
-    rows = usage.join(F.broadcast(named), "model", "left")  # a price list: eight rows
+    rows = usage.join(named, "model", "left")
     price_in = F.coalesce("input_price", base.select("input_price").scalar())
     price_out = F.coalesce("output_price", base.select("output_price").scalar())
     return rows.withColumn(

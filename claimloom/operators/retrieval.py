@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from claimloom import config
 from claimloom.functions import text as tx
 from claimloom.functions import vectors as vx
-from claimloom.operators.joins import salted_join
+from claimloom.operators.joins import fetch, salted_join
 from claimloom.operators.postings import substring_hits
 
 RANK_DIGITS = 9
@@ -112,7 +112,7 @@ def knn_within(claims: DataFrame, passages: DataFrame, scope: DataFrame, pool: i
         claims.select("claim_id", F.col("brand").alias("c_brand"), F.col("embedding").alias("c_vec")), "claim_id"
     )
     rows = passages.select("passage_id", "reference_id", "brand", "embedding").filter(F.col("embedding").isNotNull())
-    pairs = salted_join(wanted, rows, ["reference_id"], ["claim_id"]).filter(F.col("brand") == F.col("c_brand"))
+    pairs = fetch(wanted, rows, ["reference_id"]).filter(F.col("brand") == F.col("c_brand"))
     scored = pairs.select("claim_id", "passage_id", F.round(vx.cosine(F.col("c_vec"), F.col("embedding")), RANK_DIGITS).alias("similarity"))
     return top_rows(scored, pool)
 
@@ -131,7 +131,7 @@ def rank_pool(ranked: DataFrame, passages: DataFrame, k: int, pool: int) -> Data
     size = max(k, pool)
     kept = ranked.filter(F.col("rank") <= size).withColumn("is_top_k", F.col("rank") <= k)
     info = passages.select("passage_id", "reference_id", "page", "passage_text")
-    return salted_join(kept, info, ["passage_id"], ["claim_id"])
+    return fetch(kept, info, ["passage_id"])
 
 
 def share_contained(needles: Column, text: Column) -> Column:
@@ -207,7 +207,7 @@ def fact_anchor(claims: DataFrame, fact_sets: DataFrame, min_similarity: float =
     """Claims anchored in the facts of their nearest fact set, with the best fact of the set."""
     top = search_facts(claims, fact_sets, 1).filter(F.col("similarity") >= min_similarity)
     terms = claims.select("claim_id", tx.keywords(F.col("text")).alias("kw"), tx.numeric_tokens(F.col("text")).alias("nums"))
-    rows = salted_join(top.join(terms, "claim_id"), fact_sets.select("reference_id", "facts"), ["reference_id"], ["claim_id"])
+    rows = fetch(top.join(terms, "claim_id"), fact_sets.select("reference_id", "facts"), ["reference_id"])
     joined = F.lower(F.array_join(F.transform("facts", lambda f: F.coalesce(f["text"], F.lit(""))), " "))
 
     def hits(needles: Column, text: Column) -> Column:

@@ -14,13 +14,11 @@ from claimloom.plans.registry import fragment
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table.  A session may ask for documents to be dealt out further than their file splits
+    (``claimloom.documents.partitions``, set where one file holds them all); others read them as they are."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    if name == "documents":
-        # one small file would put all text work in one task; a table of many splits is left as it is
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, "doc_id")
-    return df
+    ways = spark.conf.get("claimloom.documents.partitions", None)
+    return df.repartition(int(ways), "doc_id") if ways and name == "documents" else df
 
 
 # The blank class of the text functions in the oracle's regex dialect.

@@ -291,11 +291,10 @@ _RULES = (("relapse", "placebo", None, 0.4), ("relapse", None, "/p1/", 0.2), ("f
     ("blocks_e",),
 )
 def rule_rerank(spark, d):
-    rules = spark.createDataFrame(list(_RULES), "claim_pattern string, text_pattern string, location_pattern string, delta double")
     c = pairs(spark, d).select(F.col("pair_id").alias("claim_id"), "claim_text")
     k = blocks(spark, d).select(F.col("doc").alias("claim_id"), F.col("block_no").alias("candidate_no"), "text", (F.col("block_no") % 7 / 10.0).alias("pre_score"),
                                 F.concat(F.lit("/p"), s(F.col("page")), F.lit("/col1")).alias("location"))
-    return ev.rule_rerank(c, k, rules)
+    return ev.rule_rerank(c, k, _RULES)
 
 
 @query(

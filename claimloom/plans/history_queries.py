@@ -165,6 +165,17 @@ def ancestors(spark, d):
     return hs.ancestors(edges(spark, d))
 
 
+@query(
+    "v05_by_brand",
+    """SELECT c.o_custkey % 20 AS brand_id, c.o_orderkey AS document_hash, p.o_orderkey AS parent_hash, unnest(CASE WHEN c.o_custkey % 3 = 0 THEN [0.9, 0.5] ELSE [0.9] END)::DOUBLE AS similarity_score
+    FROM chain c LEFT JOIN chain p ON c.o_custkey = p.o_custkey AND c.rn = p.rn + 1""",
+    ("chain",),
+)
+def lineage_by_brand(spark, d):
+    brands = b.table(spark, d, "orders").select(F.col("o_orderkey").alias("document_hash"), (F.col("o_custkey") % 20).alias("brand_id"))
+    return hs.lineage_by_brand(edges(spark, d).join(brands, "document_hash")).select("brand_id", "document_hash", "parent_hash", "similarity_score")
+
+
 def page_pairs(spark, d):
     """Each document against the document before it that starts with the same 30 characters."""
     w = Window.partitionBy(F.substring("text", 1, 30)).orderBy("doc_id")
@@ -260,6 +271,12 @@ def patterns_for(spark, d):
     return hs.patterns_for(strengths(spark, d), 2, 5).select("brand_id", "pattern", long("rank"))
 
 
+@query("v09_patterns_of_type", "SELECT brand_id, pattern, strength::BIGINT AS strength FROM strengths WHERE strength > 0", ("strengths",))
+def patterns_of_type(spark, d):
+    return hs.patterns_of_type(strengths(spark, d), "ref_association").select("brand_id", "pattern", "strength")
+
+
+
 @query(
     "v10_fingerprint",
     """SELECT brand, 'v1|' || sha256(brand) || '|' || count(*) || '-' || bit_xor(('0x' || substring(h, 1, 15))::BIGINT) || '-' || bit_xor(('0x' || substring(h, 16, 15))::BIGINT) AS cache_key
