@@ -11,6 +11,7 @@ from claimloom.plans import bindings as b
 from claimloom.plans import ingest_queries as iq
 from claimloom.plans import retrieval_queries as rq
 from claimloom.plans.registry import fragment, query
+from claimloom.plans.text_queries import sql_keywords
 
 
 def s(c):
@@ -366,15 +367,21 @@ def merge_facts(spark, d):
 
 
 def cascade_inputs(spark, d):
-    """Claims of every fourth conversation cite the opening words of their library document."""
+    """Claims of every fourth conversation cite the opening words of their library document; every fifth has no vector, every
+    seventh belongs to a brand without a library.  The model picks the first candidate, or nothing in every tenth."""
     c = b.claim_vectors(spark, d)
     conv = F.floor(F.col("claim_id") / 1000)
+    vector = F.when(conv % 5 != 3, F.col("embedding"))
+    c = c.withColumn("embedding", vector).withColumn("brand", F.when(conv % 7 == 5, "nowhere").otherwise(F.col("brand")))
     cited = F.when(conv % 4 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     claims = c.withColumn("doc", F.col("claim_id")).withColumn("region", F.lit("slide")).withColumn("y", F.lit(10.0)).withColumn("ref_numbers", cited)
     docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("conv"), F.lower(F.substring("text", 1, 60)).alias("citation_text"))
     pool = c.withColumn("conv", conv).join(docs, "conv").select(
         F.col("claim_id").alias("doc"), "page", F.lit("slide").alias("region"), F.lit(1).alias("ref_no"), "citation_text")
-    return claims, pool
+    choices = c.select(
+        "claim_id", (conv % 10 != 8).alias("matched"), F.lit("no. 1").alias("reference_index"), F.lit(None).cast("string").alias("reference_name"),
+        F.when(F.col("page") % 2 == 0, 85).alias("confidence"))
+    return claims, pool, choices
 
 
 _CSTOP = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOP_WORDS) + "]"
@@ -389,20 +396,69 @@ fragment(
 )
 
 
+# a share of the candidates gets no quotes at all
+fragment(
+    "cascade_extraction",
+    f"""SELECT claim_id, reference_id, match_confidence FROM (SELECT c.claim_id, c.reference_id, ref_rank, 0.97::DOUBLE AS match_confidence, {_nq("text")} AS nt, {_nq("substring(text, 20, 90)")} AS nq
+      FROM candidate_refs c JOIN documents d ON d.doc_id = c.reference_id WHERE c.reference_id % 2 = 0 AND c.reference_id % 5 <> 0)
+    WHERE nq <> '' AND contains(nt, nq) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY ref_rank) = 1""",
+    "candidate_refs",
+)
+fragment(
+    "cascade",
+    f"""SELECT c.claim_id, f.match_tier, f.reference_id, f.c AS match_confidence, none, blind, quoted, candidates, offered FROM (
+      SELECT *, (claim_id // 1000) % 7 = 5 AS none, (claim_id // 1000) % 5 = 3 AS blind FROM claims) c
+    LEFT JOIN (SELECT * FROM (SELECT claim_id, 'citation-scoped' AS match_tier, reference_id, confidence AS c, 1 AS o FROM cited_settled
+        UNION ALL SELECT claim_id, 'fact-anchored', reference_id, similarity, 2 FROM fact_anchor WHERE (claim_id // 1000) % 5 <> 3
+        UNION ALL SELECT claim_id, 'verified-extraction', reference_id, match_confidence, 3 FROM cascade_extraction WHERE (claim_id // 1000) % 5 <> 3
+        UNION ALL SELECT claim_id, 'semantic-direct-fallback', reference_id, hybrid_score, 4 FROM fallback WHERE (claim_id // 1000) % 5 <> 3
+        UNION ALL SELECT claim_id, 'keyword-fallback', reference_id, CASE WHEN page % 2 = 0 THEN 0.85::DOUBLE ELSE score END, 5 FROM cascade_keywords
+          WHERE (claim_id // 1000) % 5 = 3 AND (claim_id // 1000) % 10 <> 8 AND rank = 1)
+      WHERE (claim_id // 1000) % 7 <> 5 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY o) = 1) f USING (claim_id)
+    LEFT JOIN (SELECT claim_id, count(*) AS candidates, count(*) FILTER (WHERE reference_id % 5 <> 0) AS quoted FROM candidate_refs GROUP BY claim_id) USING (claim_id)
+    LEFT JOIN (SELECT DISTINCT claim_id, true AS offered FROM cascade_keywords) USING (claim_id)""",
+    "cited_settled", "fact_anchor", "cascade_extraction", "fallback", "claims", "candidate_refs", "cascade_keywords",
+)
+fragment(
+    "cascade_keywords",
+    f"""SELECT claim_id, page, reference_id, score, row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, reference_id) AS rank FROM (
+      SELECT claim_id, page, reference_id, len(list_filter(kw, n -> contains(lower(content_text), n)))::DOUBLE / nullif(len(kw), 0) AS score
+      FROM (SELECT claim_id, page, brand, {sql_keywords("text")} AS kw FROM claims) JOIN refs USING (brand)) WHERE score > 0""",
+    "claims", "refs",
+)
+
+
 @query(
     "k16_match_claims",
-    """WITH found AS (SELECT claim_id, 'citation-scoped' AS match_tier, reference_id, confidence AS c, 1 AS o FROM cited_settled
-      UNION ALL SELECT claim_id, 'fact-anchored', reference_id, similarity, 2 FROM fact_anchor
-      UNION ALL SELECT claim_id, 'verified-extraction', reference_id, match_confidence, 3 FROM extraction
-      UNION ALL SELECT claim_id, 'semantic-direct-fallback', reference_id, hybrid_score, 4 FROM fallback)
-    SELECT claim_id, f.match_tier IS NOT NULL AS matched, f.match_tier, f.reference_id, round(f.c, 6) AS match_confidence, CASE WHEN f.match_tier IS NOT NULL THEN 'matched' ELSE 'no-match' END AS reason
-    FROM claims LEFT JOIN (SELECT * FROM found QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY o) = 1) f USING (claim_id)""",
-    ("cited_settled", "fact_anchor", "extraction", "fallback", "claims"),
+    """SELECT claim_id, match_tier IS NOT NULL AS matched, match_tier, reference_id, round(match_confidence, 6) AS match_confidence,
+      CASE WHEN match_tier IS NOT NULL THEN 'matched' WHEN blind AND (none OR offered IS NULL) THEN 'no-keyword-overlap' WHEN blind THEN 'no-match' WHEN none THEN 'no-passages' ELSE 'no-match' END AS reason,
+      CASE WHEN match_tier IN ('citation-scoped', 'fact-anchored') THEN NULL WHEN blind THEN 'error' WHEN none THEN 'no-passages' ELSE 'narrowed' END AS semantic_result,
+      CASE WHEN match_tier IN ('citation-scoped', 'fact-anchored') OR blind OR none THEN NULL ELSE candidates END AS candidate_count
+    FROM cascade""",
+    ("cascade",),
 )
 def match_claims(spark, d):
+    out = cascade_rows(spark, d).withColumn("match_confidence", F.round("match_confidence", 6))
+    return out.select("claim_id", "matched", "match_tier", "reference_id", "match_confidence", "reason", "semantic_result", "candidate_count")
+
+
+def cascade_rows(spark, d):
     from claimloom.operators import cascade
 
-    claims, pool = cascade_inputs(spark, d)
+    claims, pool, choices = cascade_inputs(spark, d)
     _, quotes, _ = model_quotes(spark, d)
-    out = cascade.match_claims(claims, b.documents(spark, d), b.passages(spark, d), b.fact_sets(spark, d), quotes, pool)
-    return out.withColumn("match_confidence", F.round("match_confidence", 6))
+    quotes = quotes.filter("reference_id % 5 <> 0")
+    return cascade.match_claims(claims, b.documents(spark, d), b.passages(spark, d), b.fact_sets(spark, d), quotes, pool, choices)
+
+
+@query(
+    "g02_cascade_summary",
+    """SELECT outcome, count(*) AS n FROM (SELECT CASE match_tier WHEN 'citation-scoped' THEN 'citation_scoped_matched' WHEN 'fact-anchored' THEN 'fact_anchored_matched'
+        WHEN 'verified-extraction' THEN 'extraction_matched' WHEN 'semantic-direct-fallback' THEN 'semantic_direct_fallback_matched' WHEN 'keyword-fallback' THEN 'keyword_fallback_matched'
+        ELSE CASE WHEN blind THEN 'errors' WHEN none THEN 'semantic_no_passages' WHEN quoted > 0 THEN 'extraction_unverified' ELSE 'extraction_not_supported' END END AS outcome FROM cascade) GROUP BY outcome""",
+    ("cascade",),
+)
+def cascade_summary(spark, d):
+    from claimloom.operators import reports as rp
+
+    return rp.pipeline_summary(cascade_rows(spark, d), [])
