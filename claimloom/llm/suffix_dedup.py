@@ -30,7 +30,7 @@ LENGTH = 100
 GRAM = 24
 # Bytes of text that go through the hashing together, and bytes of one index: both bound the memory of a task.
 CHUNK = 2_000_000
-INDEX = 2_000_000
+INDEX = 500_000
 # An anchor counted more often than this may be dealt out string by string; no more anchors than this are, so that their set
 # is small enough to broadcast.
 HOT, HOT_ANCHORS = 4_000, 100_000
@@ -212,28 +212,29 @@ def _pack(parts: int, contexts: np.ndarray, blobs: list[bytes], strings: np.ndar
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix array of a byte text by prefix doubling that starts with eight bytes."""
+    """Suffix array of a byte text by prefix doubling that starts with seven bytes."""
     n = len(text)
-    padded = np.zeros(n + 8, np.uint64)
-    padded[:n] = text
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | padded[k : k + n]
-    # the end of the text is smaller than any byte: among equal keys, suffixes that end sooner come first
-    tail = np.minimum(n - np.arange(n), 8)
-    order = np.lexsort((tail, key)) if n else np.zeros(0, np.int64)
+    if not n:
+        return np.zeros(0, np.int64)
+    # nine bits a byte: 0 stands for the end of the text, which is smaller than any byte
+    symbols = np.zeros(n + 7, np.int64)
+    symbols[:n] = text
+    symbols[:n] += 1
+    key = np.zeros(n, np.int64)
+    for k in range(7):
+        key <<= 9
+        key |= symbols[k : k + n]
     rank = np.empty(n, np.int64)
-    changed = np.r_[False, (key[order][1:] != key[order][:-1]) | (tail[order][1:] != tail[order][:-1])] if n else np.zeros(0, bool)
-    rank[order] = np.cumsum(changed)
-    depth = 8
-    while n and rank[order[-1]] < n - 1:
-        following = np.zeros(n, np.int64)
-        following[: max(0, n - depth)] = rank[depth:] + 1
-        pair = rank * (n + 1) + following
-        order = np.argsort(pair, kind="stable")
-        rank[order] = np.cumsum(np.r_[False, pair[order][1:] != pair[order][:-1]])
+    depth = 7
+    while True:
+        order = np.argsort(key)
+        key = key[order]
+        rank[order] = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        if rank[order[-1]] == n - 1:
+            return order
+        key = rank * (n + 1)
+        key[: max(0, n - depth)] += rank[depth:] + 1
         depth *= 2
-    return order
 
 
 class RunIndex:
@@ -426,7 +427,8 @@ def spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, parts: int |
     hot_keys = np.array(sorted((r["part"] << 32) + r["rest"] for r in top), np.int64)
     context = spark.sparkContext
     dealt = arrow_map(docs, _deal_contexts(parts, length, gram, context.broadcast(table), log2, context.broadcast(hot_keys)), _PACKED)
-    by_document = dealt.groupBy("part").applyInPandas(_resolve(parts, length), "part int, meta binary")
+    # one task per part: the work of a part is large for its bytes, so parts are not put together
+    by_document = dealt.repartition(parts, "part").groupBy("part").applyInPandas(_resolve(parts, length), "part int, meta binary")
     return by_document.groupBy("part").applyInPandas(_document_spans, "ord long, th long, spans binary")
 
 
