@@ -327,6 +327,22 @@ def audit_pages(resolved: DataFrame, shown: DataFrame) -> DataFrame:
     return rows.withColumn("unresolved", gaps).withColumn("passed", (gaps == 0) & (F.col("unmatched") == 0))
 
 
+def audit_gaps(claims: DataFrame, resolved: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row per gap: doc, page, kind, region, claim_no, ref_no, text.
+
+    ``unresolved`` and ``partial-resolution`` are numbers without a citation, of a claim that has none or some;
+    ``unmatched`` are shown annotations that matched nothing.
+    """
+    known = resolved.groupBy(*PAGE, "region", "claim_no").agg(F.count("citation_text").alias("n"))
+    open_refs = unresolved_refs(resolved).select(*PAGE, "region", "claim_no", "ref_no").join(known, [*PAGE, "region", "claim_no"])
+    texts = claims.select(*PAGE, "region", "claim_no", "text")
+    numbers = open_refs.join(texts, [*PAGE, "region", "claim_no"]).select(
+        *PAGE, F.when(F.col("n") > 0, "partial-resolution").otherwise("unresolved").alias("kind"), "region", "claim_no", "ref_no", "text")
+    rest = shown.filter(~F.col("global_spot") & ~F.col("matched")).select(
+        *PAGE, F.lit("unmatched").alias("kind"), "region", F.lit(None).cast("int").alias("claim_no"), F.lit(None).cast("int").alias("ref_no"), "text")
+    return numbers.unionByName(rest)
+
+
 def audit_document(pages: DataFrame) -> DataFrame:
     g = pages.groupBy("doc").agg(
         F.count("*").alias("pages"), F.sum(F.when(F.col("passed"), 1).otherwise(0)).cast("long").alias("passed"), F.sum(F.col("unresolved") + F.col("unmatched")).alias("gaps"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -10,6 +10,7 @@ from claimloom.functions import text as tx
 from claimloom.operators import passages as ps
 from claimloom.plans import bindings as b
 from claimloom.plans.registry import fragment, query
+from claimloom.session import shared_folder
 from claimloom.sources import ingest as ig
 
 
@@ -263,15 +264,8 @@ def export_training(spark, d):
 
 
 def scratch(spark) -> str:
-    """A fresh folder under the session's shared folder; a temporary one only for a local session without it."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    import uuid
-
-    return f"{shared.rstrip('/')}/claimloom-{uuid.uuid4().hex}"
+    """A fresh folder under the session's shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/claimloom-{uuid.uuid4().hex}"
 
 
 @query(

@@ -239,10 +239,14 @@ fragment(
 
 def page_audit(spark, d):
     k = deck(spark, d)
+    return op.audit_pages(k["resolved"], shown_rows(k))
+
+
+def shown_rows(k):
     c, r = k["claims"], k["resolved"]
     none_p = c.select("doc", "page", F.lit(0).alias("idx"), "text", "numbers", F.lit(True).alias("has_evidence")).filter(F.lit(False))
     none_g = c.select("doc", "page", "region", "numbers", F.lit(0).alias("element_no"), "text", "x", "y", F.lit("").alias("reason")).filter(F.lit(False))
-    return op.audit_pages(r, op.annotations(c, r, none_p, none_g))
+    return op.annotations(c, r, none_p, none_g)
 
 
 @query("a17_audit_pages", "SELECT *, superscripts - resolved AS unresolved, superscripts = resolved AND unmatched = 0 AS passed FROM audit", ("audit",))
@@ -250,6 +254,19 @@ def audit_pages(spark, d):
     return page_audit(spark, d)
 
 
+@query(
+    "a17_audit_gaps",
+    """WITH n AS (SELECT *, count(hit) OVER (PARTITION BY doc, page, region, claim_no) AS hits FROM resolved)
+    SELECT doc, page, CASE WHEN hits > 0 THEN 'partial-resolution' ELSE 'unresolved' END AS kind, region, count(*) AS gaps FROM n WHERE hit IS NULL GROUP BY ALL
+    UNION ALL SELECT doc, page, 'unmatched', region, count(*) FROM (SELECT DISTINCT doc, page, region, claim_no FROM n WHERE hits = 0) GROUP BY ALL""",
+    ("resolved",),
+)
+def audit_gaps(spark, d):
+    k = deck(spark, d)
+    gaps = op.audit_gaps(k["claims"], k["resolved"], shown_rows(k))
+    return gaps.groupBy("doc", "page", "kind", "region").agg(F.count("text").alias("gaps"))
+
+
 @query(
     "a18_audit_document",
     """SELECT doc, count(*) AS pages, count(*) FILTER (WHERE superscripts = resolved AND unmatched = 0) AS passed, count(*) FILTER (WHERE NOT (superscripts = resolved AND unmatched = 0)) AS failed,

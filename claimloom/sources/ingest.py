@@ -192,30 +192,35 @@ def append_scorecard(summary: DataFrame, path: str) -> None:
     summary.write.mode("append").parquet(path)
 
 
-def replace_passages(new: DataFrame, path: str, buckets: int = 16) -> None:
+def replace_passages(new: DataFrame, path: str, buckets: int = 64, writers: int = 8, file_rows: int = 1_000_000) -> None:
     """Replace all passages of the documents in ``new``; running it twice gives the same table.
 
-    The table is partitioned by a document bucket: only touched buckets are read and rewritten.
+    The table is partitioned by a document bucket, and only touched buckets are read and rewritten.  A bucket is written by
+    several tasks (``writers``) in files of at most ``file_rows`` rows; ``buckets`` grows with the table (thousands for a large
+    one) and stays the same for one table.  What is kept is stored in the shared folder before buckets are replaced, so a
+    run that breaks off can be repeated.
     """
     spark = new.sparkSession
-    bucket = F.pmod(F.xxhash64("reference_id"), F.lit(buckets)).cast("int")
-    rows = new.withColumn("bucket", bucket)
+    spot = F.pmod(F.xxhash64("reference_id"), F.lit(buckets * writers))
+    rows = new.withColumn("bucket", F.floor(spot / writers).cast("int"))
+
+    def write(table: DataFrame, mode: str) -> None:
+        spread = table.withColumn("writer", (F.pmod(F.xxhash64("reference_id"), F.lit(buckets * writers)) % writers).cast("int"))
+        out = spread.repartition("bucket", "writer").drop("writer").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        out.option("maxRecordsPerFile", file_rows).partitionBy("bucket").parquet(path)
+
     try:
         old = spark.read.parquet(path)
     except Exception as exc:  # first write
         if "PATH_NOT_FOUND" not in str(exc):
             raise
-        rows.repartition("bucket").write.partitionBy("bucket").parquet(path)
+        write(rows, "append")
         return
     touched = rows.select("bucket").distinct()
-    kept = (
-        old.join(F.broadcast(touched), "bucket", "left_semi")  # at most ``buckets`` rows
-        .join(new.select("reference_id").distinct(), "reference_id", "left_anti")
-    )
+    kept = old.join(touched, "bucket", "left_semi").join(new.select("reference_id").distinct(), "reference_id", "left_anti")
     from claimloom.session import durable
 
-    merged = durable(kept.select(*rows.columns).unionByName(rows))
-    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    write(durable(kept.select(*rows.columns).unionByName(rows)), "overwrite")
 
 
 # ---- work lists ----
