@@ -29,6 +29,12 @@ def words_of(text: str | None) -> list[str]:
 UPPER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def lower_word_bytes(text: str | None) -> list[bytes]:
+    """The words in UTF-8 with A-Z lowered; splitting bytes knows the ASCII blanks only."""
+    return text.encode("utf-8", "surrogatepass").translate(UPPER).split() if text else []
+
+
+
 def lower_ascii(text: str) -> str:
     """A-Z only; other letters keep their case."""
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(UPPER).decode("utf-8", "surrogatepass")
