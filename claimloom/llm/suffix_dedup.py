@@ -33,7 +33,9 @@ CHUNK = 2_000_000
 INDEX = 500_000
 # An anchor counted more often than this may be dealt out string by string; no more anchors than this are, so that their set
 # is small enough to broadcast.
-HOT, HOT_ANCHORS = 4_000, 100_000
+HOT, HOT_ANCHORS = 20_000, 100_000
+# Contexts that a task holds while it looks for equal ones.
+HELD = 50_000
 # Largest filter of repeated anchors in bits; fuller filters let more contexts through and change no result.
 MAX_LOG2 = 29
 
@@ -119,7 +121,7 @@ def _runs(x: np.ndarray):
 
 
 def _count_anchors(parts: int, length: int, gram: int):
-    """Anchors of each batch with their number (up to 255), dealt out by anchor."""
+    """Anchors of each batch with their number (up to 65535), dealt out by anchor."""
 
     def run(batches):
         for b in batches:
@@ -130,7 +132,7 @@ def _count_anchors(parts: int, length: int, gram: int):
                 out["part"].append(int(p))
                 out["kind"].append(0)
                 out["meta"].append((h[a:e] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
-                out["blob"].append(np.minimum(n[a:e], 255).astype(np.uint8).tobytes())
+                out["blob"].append(np.minimum(n[a:e], 65535).astype("<u2").tobytes())
             yield out
 
     return run
@@ -138,57 +140,80 @@ def _count_anchors(parts: int, length: int, gram: int):
 
 def _repeated_anchors(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     rest = np.concatenate([np.frombuffer(x, "<u4") for x in rows["meta"]])
-    count = np.concatenate([np.frombuffer(x, np.uint8) for x in rows["blob"]]).astype(np.float64)
+    count = np.concatenate([np.frombuffer(x, "<u2") for x in rows["blob"]]).astype(np.float64)
     values, code = np.unique(rest, return_inverse=True)
     total = np.bincount(code, count)
     many = total > 1
     return pd.DataFrame({"part": int(key[0]), "rest": values[many].astype(np.int64), "n": total[many].astype(np.int64)})
 
 
+class _Contexts:
+    """Contexts of a task, equal ones as one: the earliest is kept, the others are spans that repeat it."""
+
+    def __init__(self):
+        self.first: dict[bytes, tuple] = {}
+        self.spans: list[tuple] = []
+
+    def add(self, key: bytes, ordinal: int, th: int, start: int, size: int) -> None:
+        old = self.first.get(key)
+        if old is None:
+            self.first[key] = (ordinal, th, start, size)
+            return
+        gone = (ordinal, th, start)
+        if (ordinal, start) < (old[0], old[2]):
+            gone, self.first[key] = old, (ordinal, th, start, size)
+        if (old[0], old[2]) != (ordinal, start):
+            self.spans.append((gone[0], gone[1], gone[2], gone[2] + size))
+
+    def pack(self, parts: int, strings: np.ndarray, gone: np.ndarray) -> dict:
+        entries = [(int.from_bytes(k[:8], "little"), *v[:3], int.from_bytes(k[8:12], "little", signed=True), v[3]) for k, v in self.first.items()]
+        return _pack(parts, np.array(entries, _CONTEXT), [k[12:] for k in self.first], strings, np.concatenate([np.array(self.spans, _SPAN), gone]))
+
+
+def _hot_strings(group: list, doc: np.ndarray, start: np.ndarray, last: np.ndarray, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The strings of hot anchors in a group of texts: the first of equal ones, and the spans of the others."""
+    many = last - start + 1
+    step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    which, at = np.repeat(doc, many), np.repeat(start, many) + step
+    sizes = np.array([len(x[3]) for x in group], np.int64)
+    hashes = _gram_hashes(np.frombuffer(b"".join(x[3] for x in group), np.uint8), length)
+    out = np.zeros(len(which), _STRING)
+    with np.errstate(over="ignore"):
+        out["hash"] = hashes[(np.cumsum(sizes) - sizes)[which] + at] * np.uint64(0xC2B2AE3D27D4EB4F) ^ np.repeat(h, many)
+    ords, ths, shifts = (np.array([x[k] for x in group], np.int64) for k in range(3))
+    out["ord"], out["th"], out["start"] = ords[which], ths[which], shifts[which] + at
+    out = out[np.lexsort((out["start"], out["ord"], out["hash"]))]
+    later = _later(out["hash"], out)
+    return out[np.r_[True, out["hash"][1:] != out["hash"][:-1]] | ~later], _spans(out[later], np.full(int(later.sum()), length))
+
+
 def _deal_contexts(parts: int, length: int, gram: int, bits, log2: int, hot):
     """Contexts of repeated anchors by anchor, strings of hot anchors by string, and the spans that are known to repeat
-    because the batch itself has an earlier equal one."""
+    because the task itself has an earlier equal one."""
 
     def run(batches):
         table, hot_keys = bits.value, hot.value
         for b in batches:
-            first: dict[bytes, tuple] = {}
-            spans = []
-
-            def offer(key, entry, begin, end):
-                """Keeps the earliest of equal strings; the others repeat it."""
-                old = first.get(key)
-                if old is None:
-                    first[key] = (*entry, end - begin)
-                    return
-                gone = entry
-                if (entry[0], entry[2]) < (old[0], old[2]):
-                    gone, first[key] = old, (*entry, end - begin)
-                if (old[0], old[2]) != (entry[0], entry[2]):
-                    spans.append((gone[0], gone[1], gone[2], gone[2] + end - begin))
-
+            held, strings, gone = _Contexts(), [np.zeros(0, _STRING)], [np.zeros(0, _SPAN)]
             for g in _chunks(b, length):
                 doc, start, last, place, h = anchors([x[3] for x in g], length, gram)
                 spot = (h & np.uint64((1 << log2) - 1)).astype(np.int64)
-                known = np.flatnonzero((table[spot >> 3] >> (spot & 7)) & 1)
+                known = ((table[spot >> 3] >> (spot & 7)) & 1).astype(bool)
                 keys = (_parts_of(h, parts) << 32) + (h & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                is_hot = np.isin(keys, hot_keys) if len(hot_keys) else np.zeros(len(h), bool)
-                for i in known.tolist():
+                is_hot = known & np.isin(keys, hot_keys)
+                if is_hot.any():
+                    kept, others = _hot_strings(g, doc[is_hot], start[is_hot], last[is_hot], h[is_hot], length)
+                    strings.append(kept)
+                    gone.append(_union(others))
+                for i in np.flatnonzero(known & ~is_hot).tolist():
                     ordinal, th, shift, raw = g[doc[i]]
-                    s, e, a = int(start[i]), int(last[i]), int(h[i])
-                    if is_hot[i]:
-                        for s in range(s, e + 1):
-                            string = raw[s : s + length]
-                            offer(xxhash.xxh3_128_digest(string), (ordinal, th, shift + s), s, s + length)
-                    else:
-                        string = raw[s : e + length]
-                        off = s - int(place[i])
-                        offer(a.to_bytes(8, "little") + off.to_bytes(4, "little", signed=True) + string, (ordinal, th, shift + s), s, e + length)
-            # a string's key is its 16-byte digest, a context's key is anchor, offset and bytes
-            contexts = {k: v for k, v in first.items() if len(k) > 16}
-            entries = [(int.from_bytes(k[:8], "little"), *v[:3], int.from_bytes(k[8:12], "little", signed=True), v[3]) for k, v in contexts.items()]
-            strings = [(int.from_bytes(k[:8], "little"), *v[:3]) for k, v in first.items() if len(k) == 16]
-            yield _pack(parts, np.array(entries, _CONTEXT), [k[12:] for k in contexts], np.array(strings, _STRING), np.array(spans, _SPAN))
+                    s, e = int(start[i]), int(last[i]) + length
+                    key = int(h[i]).to_bytes(8, "little") + (s - int(place[i])).to_bytes(4, "little", signed=True) + raw[s:e]
+                    held.add(key, ordinal, th, shift + s, e - s)
+                if len(held.first) + len(held.spans) > HELD or len(strings) > 1:
+                    yield held.pack(parts, np.concatenate(strings), np.concatenate(gone))
+                    held, strings, gone = _Contexts(), [np.zeros(0, _STRING)], [np.zeros(0, _SPAN)]
+            yield held.pack(parts, np.concatenate(strings), np.concatenate(gone))
 
     return run
 
