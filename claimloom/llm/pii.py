@@ -25,7 +25,7 @@ PATTERN = re.compile(
     r"|(?<![\w.+])(?P<date>\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w]|[./-]\d)"
     r"|(?<![\w.+-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)"
     r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\w)"
+    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\w|[.-]\d)"
     r"|(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)"
 )
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
