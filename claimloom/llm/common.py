@@ -40,6 +40,21 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(UPPER).decode("utf-8", "surrogatepass")
 
 
+_KEPT: list = [None, None]
+
+
+def kept_by_worker(name, make):
+    """What an operator remembers between the tasks of a worker process.
+
+    Workers serve one operator after the other; asking under another name drops what was kept before, so that their memory
+    does not add up.
+    """
+    if _KEPT[0] != name:
+        _KEPT[:] = [None, None]
+        _KEPT[:] = [name, make()]
+    return _KEPT[1]
+
+
 def fold(id_col: str, residue: int, modulus: int) -> Column:
     """True for rows whose crc32 of the id as text leaves ``residue``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == residue, F.lit(False))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import bloom
-from claimloom.llm.common import arrow_map, lower_ascii, words_of
+from claimloom.llm.common import arrow_map, kept_by_worker, lower_ascii, words_of
 from claimloom.llm.graph import components
 from claimloom.session import durable
 
@@ -60,9 +60,6 @@ class _Words(dict):
         return value
 
 
-_WORDS = _Words()
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
@@ -75,7 +72,8 @@ def ngrams(text: str | None, words: int = 5) -> np.ndarray:
     tokens = words_of(lower_ascii(text)) if text else []
     if not tokens:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_WORDS.__getitem__, tokens), np.uint64, len(tokens))
+    known = kept_by_worker("jaccard", _Words)
+    h = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
     width = min(words, len(h))
     total = np.full(len(h) - width + 1, width, np.uint64)
     with np.errstate(over="ignore"):

@@ -17,12 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_map, words_of
+from claimloom.llm.common import arrow_map, kept_by_worker, words_of
 from claimloom.session import durable
 
 SHARD_PIECES = 20_000
 # Words a worker remembers the ids of; it starts anew beyond that, so its memory is bounded.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 # Pre-tokens of printable ASCII text without apostrophes and special tokens.
 _PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _PRINTABLE = re.compile(r"[!-&(-~]+")
@@ -62,15 +62,6 @@ class _Ids(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
-_WORKER: dict[str, _Ids] = {}
-
-
-def _ids(path: str) -> _Ids:
-    if path not in _WORKER:
-        _WORKER[path] = _Ids(path)
-    return _WORKER[path]
-
-
 def pieces(df: DataFrame, tokenizer: str, max_tokens: int, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0) -> DataFrame:
     """id, piece, start, length, ids_crc32: each document's ids and the end id, cut at ``max_tokens``.
 
@@ -81,7 +72,7 @@ def pieces(df: DataFrame, tokenizer: str, max_tokens: int, id_col: str = "doc_id
     step = 4 * max_tokens
 
     def run(batches):
-        known = _ids(tokenizer)
+        known = kept_by_worker(("packing", tokenizer), lambda: _Ids(tokenizer))
         for b in batches:
             out = {"id": [], "piece": [], "start": [], "length": [], "ids_crc32": []}
             for doc, text in zip(b["id"], b["text"]):

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_map, fold, lower_ascii, words_of
+from claimloom.llm.common import arrow_map, fold, kept_by_worker, lower_ascii, words_of
 from claimloom.llm.labelled import SAMPLE, WordHash, sample
 
 BITS = 20
@@ -14,13 +14,11 @@ BITS = 20
 UPDATES = 18_000
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.02, 0.1
 
-_HASH = WordHash()
-
-
 def features(text: str | None, bits: int = BITS) -> np.ndarray:
     """Distinct hashed words and word pairs of the whole text; slot 0 is the intercept and always there."""
     words = words_of(lower_ascii(text)) if text else []
-    one = np.fromiter(map(_HASH.__getitem__, words), np.uint64, len(words))
+    known = kept_by_worker("quality", WordHash)
+    one = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     with np.errstate(over="ignore"):
         two = one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
         mixed = np.concatenate([one * np.uint64(0xD6E8FEB86659FD93), two]) >> np.uint64(64 - bits)

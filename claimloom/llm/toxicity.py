@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import WORD, arrow_map, fold, lower_ascii, words_of
+from claimloom.llm.common import WORD, arrow_map, fold, kept_by_worker, lower_ascii, words_of
 from claimloom.llm.labelled import SAMPLE, sample
 
 # Lengths of the word beginnings that are features besides the whole word.
@@ -182,8 +182,7 @@ class Packed:
 
 
 # Words that a worker remembers between the tasks of one model: bounds its memory.
-KNOWN_WORDS = 700_000
-_KNOWN: dict[str, "_Rows"] = {}
+KNOWN_WORDS = 400_000
 
 
 class _Rows(dict):
@@ -244,10 +243,7 @@ class Field:
         order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
         group, size = [], 0
         name = hashlib.sha256(self.weight.tobytes() + "\n".join(self.slot_of).encode("utf-8", "surrogatepass")).hexdigest()
-        if name not in _KNOWN:
-            _KNOWN.clear()
-            _KNOWN[name] = _Rows(self.slot_of, self.weight)
-        known = _KNOWN[name]
+        known = kept_by_worker(("toxicity", name), lambda: _Rows(self.slot_of, self.weight))
 
         def flush():
             rows, lengths = known.of([texts[i] for i in group])
