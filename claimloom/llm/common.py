@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -51,6 +52,8 @@ def kept_by_worker(name, make):
     """
     if _KEPT[0] != name:
         _KEPT[:] = [None, None]
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _KEPT[:] = [name, make()]
     return _KEPT[1]
 

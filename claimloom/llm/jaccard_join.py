@@ -34,7 +34,7 @@ _SLICE_END = int(SLICE * 2**32)
 # Documents of one block of a large part, and n-grams that one task of many small parts takes.
 BLOCK_DOCS = 2_000
 TASK_NGRAMS = 1_000_000
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 
 @dataclass(frozen=True)

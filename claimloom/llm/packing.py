@@ -22,7 +22,7 @@ from claimloom.session import durable
 
 SHARD_PIECES = 20_000
 # Words a worker remembers the ids of; it starts anew beyond that, so its memory is bounded.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 600_000
 # Pre-tokens of printable ASCII text without apostrophes and special tokens.
 _PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _PRINTABLE = re.compile(r"[!-&(-~]+")

@@ -182,7 +182,7 @@ class Packed:
 
 
 # Words that a worker remembers between the tasks of one model: bounds its memory.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 250_000
 
 
 class _Rows(dict):
