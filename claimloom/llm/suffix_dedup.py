@@ -112,7 +112,10 @@ def _chunks(batch: dict, length: int):
 
 
 def _parts_of(hashes: np.ndarray, parts: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    """Parts of hashes; anchors are small hashes by their choice, so they are mixed once more."""
+    with np.errstate(over="ignore"):
+        mixed = (hashes * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return (mixed * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _runs(x: np.ndarray):
@@ -128,7 +131,10 @@ def _count_anchors(parts: int, length: int, gram: int):
             found = [anchors([x[3] for x in g], length, gram)[4] for g in _chunks(b, length)]
             h, n = np.unique(np.concatenate(found or [np.zeros(0, np.uint64)]), return_counts=True)
             out = {"part": [], "kind": [], "meta": [], "blob": []}
-            for p, a, e in zip(*_runs(_parts_of(h, parts))):
+            part = _parts_of(h, parts)
+            order = np.argsort(part, kind="stable")
+            h, n, part = h[order], n[order], part[order]
+            for p, a, e in zip(*_runs(part)):
                 out["part"].append(int(p))
                 out["kind"].append(0)
                 out["meta"].append((h[a:e] & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes())
