@@ -28,9 +28,16 @@ PATTERN = re.compile(
     r"|(?<!\w)(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\w|[.-]\d)"
     r"|(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)"
 )
+# Groups in which card numbers are written; a number in one group is another.
+CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5)}
+# Country codes of one and two digits; all others have three.
+CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 # end of fixed values
 _MAYBE = re.compile(r"@|\d[\d ./()-]{4,}\d")
+_RUN, _FIRST = re.compile(r"\d+"), re.compile(r"\D*\d+")
+# Characters around a number in which others can begin or end that share digits with it.
+REACH = 48
 
 
 class Feistel:
@@ -87,6 +94,56 @@ def _refill(text: str, digits: str) -> str:
     return "".join(next(rest) if c.isdigit() else c for c in text)
 
 
+def _card_span(m: re.Match) -> tuple[int, int] | None:
+    """The longest valid number of whole digit groups in a match; usual groups go first, since others are valid by chance."""
+    runs = [r.span() for r in _RUN.finditer(m.string, *m.span())]
+    sizes = [b - a for a, b in runs]
+    spans = []
+    for i in range(len(runs)):
+        for j in range(i + 1, len(runs) + 1):
+            if 13 <= (total := sum(sizes[i:j])) <= 19:
+                usual = j - i == 1 or tuple(sizes[i:j]) in CARD_GROUPS
+                spans.append((not usual, -total, runs[i][0], runs[j - 1][1]))
+    return next(((a, b) for *_, a, b in sorted(spans) if luhn(re.sub(r"\D", "", m.string[a:b]))), None)
+
+
+def _phone_span(m: re.Match) -> tuple[int, int] | None:
+    """The longest number of whole digit groups in a match; ten digits after +1 go first."""
+    code = CODE.match(re.sub(r"\D", "", m[0]))[0]
+    ends, n = [], -len(code)
+    for r in _RUN.finditer(m.string, *m.span()):
+        n += len(r[0])
+        if 6 <= n <= 13:
+            ends.append((code == "1" and n == 10, n, r.end()))
+    return (m.start(), max(ends)[-1]) if ends else None
+
+
+_NUMBERS = {"card": _card_span, "phone": _phone_span}
+
+
+def _always(text: str) -> bool:
+    return True
+
+
+def _same(text: str, lead: int, kind: str, start: int, end: int) -> Callable[[str], bool]:
+    """Whether the same place is found again with other digits in it, so that the way back finds it."""
+    base = max(0, lead - 1)
+    before, after = text[base:start], text[end : end + REACH]
+
+    def same(new: str) -> bool:
+        pos, whole = lead - base, before + new + after
+        while m := PATTERN.search(whole, pos):
+            if m.lastgroup in _NUMBERS:
+                if span := _NUMBERS[m.lastgroup](m):
+                    return (m.lastgroup, *span) == (kind, start - base, end - base)
+                pos = _FIRST.match(whole, m.start()).end()
+            else:
+                pos = m.end()
+        return False
+
+    return same if same(text[start:end]) else _always
+
+
 @dataclass(frozen=True)
 class Pseudonyms:
     key: bytes
@@ -100,11 +157,11 @@ class Pseudonyms:
         n = len(digits)
         return str(self._move(int(digits), 10**n, f"{tweak}{n}", lambda x: valid(str(x).zfill(n)))).zfill(n)
 
-    def card(self, text: str) -> str | None:
+    def card(self, text: str, same: Callable[[str], bool] = _always) -> str | None:
         digits = re.sub(r"\D", "", text)
         if not luhn(digits):
             return None
-        body = self._digits(digits[:-1], "card")
+        body = self._digits(digits[:-1], "card", lambda d: same(_refill(text, d + check_digit(d))))
         return _refill(text, body + check_digit(body))
 
     def ssn(self, text: str) -> str | None:
@@ -121,11 +178,12 @@ class Pseudonyms:
         value = self._move(int.from_bytes(bytes(octets), "big"), 2**32, "ip")
         return ".".join(str(x) for x in value.to_bytes(4, "big"))
 
-    def phone(self, text: str) -> str | None:
-        code = re.match(r"\+\d{1,3}(?=[ .(-])|\+\d", text)[0]
-        rest = text[len(code):]
-        digits = re.sub(r"\D", "", rest)
-        return code + _refill(rest, self._digits(digits, "phone" + code)) if 6 <= len(digits) <= 13 else None
+    def phone(self, text: str, same: Callable[[str], bool] = _always) -> str | None:
+        digits = re.sub(r"\D", "", text)
+        # the code by its digits, so that numbers are equal under other separators
+        code = CODE.match(digits)[0]
+        rest = digits[len(code):]
+        return "+" + _refill(text[1:], code + self._digits(rest, "phone+" + code, lambda d: same("+" + _refill(text[1:], code + d))))
 
     def date(self, text: str) -> str | None:
         form = "%Y-%m-%d" if text[4] == "-" else f"%d{text[2]}%m{text[5]}%Y"
@@ -164,13 +222,27 @@ class Pseudonyms:
         found: list[dict] = []
         if not _MAYBE.search(text):
             return text, found
-        out, at = [], 0
-        for m in PATTERN.finditer(text):
-            new = getattr(self, m.lastgroup)(m[0])
+        out, at, pos, failed = [], 0, 0, None
+        while m := PATTERN.search(text, pos):
+            kind, (start, end) = m.lastgroup, m.span()
+            if kind in _NUMBERS:
+                span = _NUMBERS[kind](m)
+                if span is None:
+                    # numbers that begin within the failed one are not passed over
+                    failed = start if failed is None else failed
+                    pos = _FIRST.match(text, start).end()
+                    continue
+                lead = max(at, start if failed is None else failed, span[0] - REACH)
+                alone = failed is None and span == (start, end)
+                start, end = span
+                new = getattr(self, kind)(text[start:end], _always if alone else _same(text, lead, kind, start, end))
+            else:
+                new = getattr(self, kind)(m[0])
+            pos = end
             if new is not None:
-                found.append({"kind": m.lastgroup, "start": m.start(), "end": m.end(), "pseudonym": new})
-                out += [text[at : m.start()], new]
-                at = m.end()
+                found.append({"kind": kind, "start": start, "end": end, "pseudonym": new})
+                out += [text[at:start], new]
+                at, failed = end, None
         return "".join(out) + text[at:], found
 
 
@@ -178,7 +250,8 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     """id, n_found, findings, text of every row, in one pass without a shuffle; ``back`` undoes it with the same key.
 
     A null text stays null and has no findings.  Repeated rows give repeated rows; null ids are kept; other columns are
-    ignored; an empty table gives an empty result.  Numbers that do not validate stay as they are.
+    ignored; an empty table gives an empty result.  Numbers that do not validate stay as they are; of one with others beside it
+    the valid part of whole digit groups is replaced.  Phone numbers without + and country code, or with (0) in them, are not covered.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rule = Pseudonyms(key, back)

@@ -54,3 +54,36 @@ def test_rows(spark):
     assert out == {(i, len(moved(t or "")[1]), None if t is None else moved(t)[0]) for i, t, *_ in rows}
     assert sorted(map(str, pii.pseudonymise(got.select("doc_id", "text"), KEY, back=True).select("doc_id", "text").collect())) == sorted(map(str, df.select("doc_id", "text").collect()))
     assert pii.pseudonymise(df.limit(0), KEY).collect() == []
+
+
+def digits(text):
+    return re.sub(r"\D", "", text)
+
+
+def test_numbers_beside_others_are_found():
+    apply, back = pii.Pseudonyms(KEY).apply, pii.Pseudonyms(KEY, back=True).apply
+    number = digits(apply("4111111111111111")[0])
+    for n in range(100):
+        for form in ("4111111111111111 {}", "4111111111111111 {}/27", "{} 4111111111111111", "qty {} 4111-1111-1111-1111", "4111 1111 1111 1111 1{}", "4111111111111111-{}"):
+            text = form.format(f"{n:02}")
+            out, found = apply(text)
+            assert [(f["kind"], digits(f["pseudonym"])) for f in found] == [("card", number)], text
+            assert back(out)[0] == text
+    text = "12 2024-05-01 12345 and 1234 4111 1111 1111 1111"
+    out, found = apply(text)
+    assert "4111 1111 1111 1111" not in out and "date" in [f["kind"] for f in found] and back(out)[0] == text
+    for n in range(2000):
+        text = f"{n:04} {n % 7}4111 {n * 37 % 10000:04} 1111 1111 {n * 13 % 997}"
+        assert back(apply(text)[0])[0] == text
+
+
+def test_phone_numbers_are_linked():
+    apply, back = pii.Pseudonyms(KEY).apply, pii.Pseudonyms(KEY, back=True).apply
+    one = lambda t: [digits(f["pseudonym"]) for f in apply(t)[1]]
+    want = one("+1 (415) 555-0132")
+    assert len(want) == 1
+    for text in ("+1 (415) 555-0132 42", "+1 (415) 555-0132 2024", "+14155550132", "+1 415.555.0132, 7"):
+        assert one(text) == want and back(apply(text)[0])[0] == text
+    assert one("+49 30 1234 5678") == one("+493012345678") != []
+    text = "+1 (415) 555-0132 4111 1111 1111 1111"
+    assert [f["kind"] for f in apply(text)[1]] == ["phone", "card"] and back(apply(text)[0])[0] == text
