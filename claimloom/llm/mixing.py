@@ -148,9 +148,10 @@ def _named(docs: DataFrame) -> DataFrame:
 
 def _tokens(named: DataFrame, quotas: dict, repeats: int) -> DataFrame:
     """(pattern, copies, rest): what the flow takes of each pattern, as whole passes and the rest."""
-    sizes = {tuple(json.loads(r.pattern)): r.n for r in named.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
-    given = route(sizes, quotas, repeats)
-    rows = [(json.dumps(list(p), ensure_ascii=False, separators=(",", ":")), *(divmod(sum(given[p].values()), n) if n else (0, 0))) for p, n in sizes.items()]
+    # the join needs the text that Spark wrote: other libraries escape control characters otherwise
+    written = {tuple(json.loads(r.pattern)): (r.pattern, r.n) for r in named.groupBy("pattern").agg(F.sum("size").alias("n")).collect()}
+    given = route({p: n for p, (_, n) in written.items()}, quotas, repeats)
+    rows = [(text, *(divmod(sum(given[p].values()), n) if n else (0, 0))) for p, (text, n) in written.items()]
     return named.sparkSession.createDataFrame(rows, "pattern string, copies long, rest long")
 
 

@@ -57,3 +57,10 @@ def test_mix_reaches_quotas_with_overlapping_sources(spark):
     assert sum(r.taken for r in got) == 3500
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(7), quotas).collect()))
     assert mixing.mix(docs.limit(0), quotas).collect() == []
+
+
+def test_sources_with_control_characters_are_taken(spark):
+    names = ["a\x0bb", "\x1b[0m", "\x1f", "\x0e\x0f", 'q"\\/', "\x7f\u2028é"]
+    docs = spark.createDataFrame([(i, [s], 10) for i, s in enumerate(names)], "id long, sources array<string>, size long")
+    got = mixing.mix(docs, {s: 10.0 for s in names}).collect()
+    assert sorted((r.id, r.taken) for r in got) == [(i, 10) for i in range(len(names))]
