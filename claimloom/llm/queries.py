@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import ann, exact_dedup, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity
+from claimloom.llm import alignment, ann, exact_dedup, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -115,3 +115,11 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return lm.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@register("op11_alignment")
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align(table(spark, sf_dir, "documents"), *paths)
