@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import alignment, ann, exact_dedup, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity
+from claimloom.llm import alignment, ann, exact_dedup, fingerprints, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -123,3 +123,8 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     return alignment.align(table(spark, sf_dir, "documents"), *paths)
+
+
+@register("op12_fingerprints")
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_next(table(spark, sf_dir, "documents"))
