@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import alignment, ann, exact_dedup, fingerprints, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity
+from claimloom.llm import alignment, ann, exact_dedup, fingerprints, jaccard_join, lm, mixing, packing, pii, quality, suffix_dedup, toxicity, whitening
 from claimloom.llm.common import WORD, table
 from claimloom.session import durable
 
@@ -128,3 +128,8 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_fingerprints")
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_next(table(spark, sf_dir, "documents"))
+
+
+@register("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
