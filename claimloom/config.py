@@ -37,8 +37,14 @@ CACHE_MAX_ROWS = 500
 EVIDENCE_PRIORITY = {"table_cell": 4, "text_quote": 3, "figure_caption": 2, "chart_label": 1}
 # end of fixed values
 
-# Rows per block of the exact nearest-neighbour job: bounds the memory of one task.
-KNN_PASSAGE_BLOCK = 4096
-KNN_CLAIM_BLOCK = 1024
+# Rows of either side of a nearest-neighbour block: bounds the memory of one task (some 64 MB a side at 64 dimensions).
+KNN_BLOCK_ROWS = 131072
+# Pairs worth a task of their own.
+KNN_TASK_PAIRS = 1 << 22
+# Bucketed random projections: tables, functions of a table, bucket width on unit vectors, borders a claim looks across.
+LSH_TABLES = 20
+LSH_FUNCTIONS = 6
+LSH_WIDTH = 0.25
+LSH_PROBES = 3
 # Ways a hot join key is split (see operators/joins.py).
 SALTS = 8

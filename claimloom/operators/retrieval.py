@@ -7,8 +7,6 @@ they rank rows, so the order does not hang on the summation order of a task.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,95 +14,9 @@ from claimloom import config
 from claimloom.functions import text as tx
 from claimloom.functions import vectors as vx
 from claimloom.operators.joins import fetch, salted_join
+from claimloom.operators.nearest import RANK_DIGITS, knn, knn_lsh, top_rows  # noqa: F401
 from claimloom.operators.postings import substring_hits
 
-RANK_DIGITS = 9
-_SLICE = 1024
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
-    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = values.reshape(len(flat), -1)
-    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-
-def _block_top(pool: int):
-    """Top rows of one claim block against one passage block, ties by passage id."""
-
-    def run(claims: pa.Table, passages: pa.Table) -> pa.Table:
-        empty = pa.table({"claim_id": claims["claim_id"].slice(0, 0), "passage_id": passages["passage_id"].slice(0, 0),
-                          "similarity": pa.array([], pa.float64())})
-        if not len(claims) or not len(passages):
-            return empty
-        passages = passages.sort_by("passage_id")
-        a, p = _matrix(claims["embedding"]), _matrix(passages["embedding"])
-        keep = min(pool, len(passages))
-        rows, cols, sims = [], [], []
-        for lo in range(0, len(a), _SLICE):
-            s = np.round(a[lo : lo + _SLICE] @ p.T, RANK_DIGITS) + 0.0
-            cut = -np.partition(-s, keep - 1, axis=1)[:, keep - 1 : keep]
-            take = s >= cut
-            for r in np.flatnonzero(take.sum(axis=1) > keep):
-                tied = np.flatnonzero(s[r] == cut[r])
-                take[r, tied[keep - int((s[r] > cut[r]).sum()) :]] = False
-            r, c = np.nonzero(take)
-            rows.append(r + lo)
-            cols.append(c)
-            sims.append(s[r, c])
-        return pa.table(
-            {
-                "claim_id": claims["claim_id"].take(pa.array(np.concatenate(rows))),
-                "passage_id": passages["passage_id"].take(pa.array(np.concatenate(cols))),
-                "similarity": pa.array(np.concatenate(sims)),
-            }
-        )
-
-    return run
-
-
-def knn(claims: DataFrame, passages: DataFrame, pool: int = config.CANDIDATE_POOL, exclude_same_id: bool = False,
-        claim_block: int = config.KNN_CLAIM_BLOCK, passage_block: int = config.KNN_PASSAGE_BLOCK) -> DataFrame:
-    """Exact nearest passages of every claim inside its brand: claim_id, passage_id, similarity, rank.
-
-    Both sides of a brand are cut into blocks of bounded size, however large the brand is; one task
-    multiplies one pair of blocks and passes on at most ``pool`` rows per claim.
-    """
-    keep = pool + 1 if exclude_same_id else pool
-    c = claims.filter(F.col("embedding").isNotNull()).select("claim_id", "brand", "embedding")
-    p = passages.filter(F.col("embedding").isNotNull()).select("passage_id", "brand", "embedding")
-    cn = c.groupBy("brand").agg(F.ceil(F.count("*") / claim_block).cast("int").alias("n_cb"))
-    pn = p.groupBy("brand").agg(F.ceil(F.count("*") / passage_block).cast("int").alias("n_pb"))
-    blocks = cn.join(pn, "brand")
-    c = (
-        c.join(blocks, "brand")
-        .withColumn("cb", F.pmod(F.xxhash64("claim_id"), "n_cb").cast("int"))
-        .withColumn("pb", F.explode(F.sequence(F.lit(0), F.col("n_pb") - 1)))
-    )
-    p = (
-        p.join(blocks, "brand")
-        .withColumn("pb", F.pmod(F.xxhash64("passage_id"), "n_pb").cast("int"))
-        .withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("n_cb") - 1)))
-    )
-    keys = ["brand", "cb", "pb"]
-    id_types = (claims.schema["claim_id"].dataType.simpleString(), passages.schema["passage_id"].dataType.simpleString())
-    partial = (
-        c.select(*keys, "claim_id", "embedding").groupBy(*keys)
-        .cogroup(p.select(*keys, "passage_id", "embedding").groupBy(*keys))
-        .applyInArrow(_block_top(keep), f"claim_id {id_types[0]}, passage_id {id_types[1]}, similarity double")
-    )
-    if exclude_same_id:
-        partial = partial.filter(F.col("claim_id") != F.col("passage_id"))
-    return top_rows(partial, pool)
-
-
-def top_rows(scored: DataFrame, pool: int) -> DataFrame:
-    """Rank scored (claim, passage) rows per claim and keep the pool."""
-    w = Window.partitionBy("claim_id").orderBy(F.desc("similarity"), F.asc("passage_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= pool)
-
 
 def knn_within(claims: DataFrame, passages: DataFrame, scope: DataFrame, pool: int = config.CANDIDATE_POOL) -> DataFrame:
     """Nearest passages of a claim among the references named for it in ``scope`` (claim_id, reference_id)."""

@@ -2,7 +2,6 @@
 
 import random
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as tx
@@ -13,24 +12,6 @@ from claimloom.operators import quotes as qt
 from claimloom.operators import retrieval as rt
 
 
-def test_blocked_knn_equals_brute_force(spark):
-    rnd = np.random.default_rng(3)
-    vecs = rnd.integers(-2, 3, size=(60, 4)).astype(float)  # many ties
-    brands = [["a", "b"][i % 2] for i in range(60)]
-    c = spark.createDataFrame([(i, brands[i], vecs[i].tolist()) for i in range(20)], "claim_id long, brand string, embedding array<float>")
-    p = spark.createDataFrame([(i, brands[i], vecs[i].tolist()) for i in range(60)], "passage_id long, brand string, embedding array<float>")
-    got = {(r.claim_id, r["rank"]): r.passage_id for r in rt.knn(c, p, 5, claim_block=4, passage_block=7).collect()}
-    norm = np.linalg.norm(vecs, axis=1)
-    for i in range(20):
-        sims = []
-        for j in range(60):
-            if brands[j] == brands[i]:
-                d = norm[i] * norm[j]
-                sims.append((-round(float(vecs[i] @ vecs[j] / d), 9) + 0.0 if d else 0.0, j))
-        for n, (_, j) in enumerate(sorted(sims)[:5]):
-            assert got[(i, n + 1)] == j
-
-
 def test_postings_equal_contains(spark):
     rnd = random.Random(5)
     texts = [(i, " ".join("".join(rnd.choices("abc", k=rnd.randint(1, 9))) for _ in range(8))) for i in range(30)]
