@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from claimloom import config
 from claimloom.functions import text as tx
 from claimloom.functions import unicode as un
+from claimloom.operators import topk
 from claimloom.operators.postings import substring_hits
 from claimloom.session import durable
 
@@ -88,49 +89,53 @@ def score_citation(p: Column, head: Column) -> Column:
     return F.round(F.when(weight > 0, score / weight).otherwise(raw_share), 9)
 
 
-def citation_needles(citations: DataFrame) -> DataFrame:
-    """Lower-case parts of a citation, one of which every scoring reference head must contain."""
+def citation_needles(parsed: DataFrame) -> DataFrame:
+    """query_id, brand, needle, part, weight: the lower-case parts of a citation with the share of the score that each can bring.
+
+    Words of the journal are one part.  A citation without any part has its longer words instead.
+    """
     p = F.col("p")
-    journal = F.filter(F.split(F.lower(F.coalesce(p["journal"], F.lit(""))), r"\s+"), lambda w: w != "")
-    parts = F.array_compact(F.array(
-        F.lower(p["author"]), p["year"], p["volume"], F.get(F.split(p["pages"], "-"), F.lit(0)),
-    ))
-    parts = F.concat(parts, journal)
+
+    def part(name: str, text: Column, weight: float) -> Column:
+        return F.array(F.struct(F.lower(text).alias("needle"), F.lit(name).alias("part"), F.lit(weight).alias("weight")))
+
+    words = F.filter(F.split(F.lower(F.coalesce(p["journal"], F.lit(""))), r"\s+"), lambda w: w != "")
+    journal = F.transform(words, lambda w: F.struct(w.alias("needle"), F.lit("journal").alias("part"), F.lit(0.2).alias("weight")))
+    parts = F.concat(part("author", p["author"], 0.4), part("year", p["year"], 0.3), part("volume", p["volume"], 0.05),
+                     part("pages", F.get(F.split(p["pages"], "-"), F.lit(0)), 0.05), journal)
+    parts = F.filter(parts, lambda x: x["needle"].isNotNull())
+    weight = F.when(p["author"].isNotNull(), 0.4).otherwise(0.0) + F.when(p["year"].isNotNull(), 0.3).otherwise(0.0) + F.when(
+        p["journal"].isNotNull(), 0.2).otherwise(0.0) + F.when(p["volume"].isNotNull() | p["pages"].isNotNull(), 0.1).otherwise(0.0)
     raw = F.filter(F.split(F.lower(p["raw"]), r"\s+"), lambda w: (F.length(w) > 3) & ~w.isin(*tx.CLAIM_STOP_WORDS))
-    return citations.select("citation_id", "brand", F.explode(F.array_distinct(F.when(F.size(parts) > 0, parts).otherwise(raw))).alias("needle"))
+    # a word that the citation repeats counts each time
+    raw_parts = F.transform(F.array_distinct(raw), lambda w: F.struct(w.alias("needle"), w.alias("part"), (
+        F.size(F.filter(raw, lambda x: x == w)) / F.size(raw)).cast("double").alias("weight")))
+    rows = parsed.select("citation_id", "brand", F.explode(F.when(weight > 0, F.transform(parts, lambda x: F.struct(
+        x["needle"].alias("needle"), x["part"].alias("part"), (x["weight"] / weight).alias("weight")))).otherwise(raw_parts)).alias("x"))
+    # one needle may be several parts (a volume that is also a page)
+    return rows.groupBy(F.col("citation_id").alias("query_id"), "brand", F.col("x.needle").alias("needle")).agg(
+        F.concat_ws("+", F.sort_array(F.collect_set("x.part"))).alias("part"), F.sum("x.weight").alias("weight"))
 
 
 def best_citation(citations: DataFrame, references: DataFrame, min_score: float = 0.0) -> DataFrame:
-    """Best reference of the brand per citation: citation_id, reference_id, confidence.
+    """Best reference of the brand per citation: citation_id, reference_id, confidence; equal ones go to the smaller id.
 
-    Each scoring pair shares a part as a substring of the reference head; the parts are looked up in the heads'
-    vocabulary, so citations and references never meet without one.
+    Each scoring pair shares a part as a substring of the reference head.  Parts are looked up in the vocabulary of the heads, and lists of parts
+    that most references share are not expanded where a rarer part has settled the citation (see topk.py).
     """
     parsed = citations.withColumn("p", parse_citation(F.col("citation_text"))).filter(F.col("p").isNotNull())
     heads = references.select("reference_id", "brand", reference_head(F.col("display_alias"), F.col("content_text")).alias("head"))
-    # authors are rare: a pair that has one and beats whatever a pair without it could reach settles its citation
-    named = parsed.filter(F.col("p.author").isNotNull())
-    by_author = _best_of(named, heads, named.select("citation_id", "brand", F.lower("p.author").alias("needle")), min_score)
-    weight = F.when(F.col("p.year").isNotNull(), 0.3).otherwise(0.0) + F.when(F.col("p.journal").isNotNull(), 0.2).otherwise(0.0) + F.when(
-        F.col("p.volume").isNotNull() | F.col("p.pages").isNotNull(), 0.1).otherwise(0.0)
-    reach = named.select("citation_id", (weight / (weight + 0.4)).alias("reach"))
-    settled = durable(by_author.join(reach, "citation_id").filter(F.col("confidence") > F.col("reach") + 1e-6).drop("reach"))
-    rest = parsed.join(settled.select("citation_id"), "citation_id", "left_anti")
-    return settled.unionByName(_best_of(rest, heads, citation_needles(rest), min_score))
-
-
-def _best_of(parsed: DataFrame, heads: DataFrame, needles: DataFrame, min_score: float) -> DataFrame:
-    """Best scoring head per citation among the heads that hold one of its needles."""
-    hits = substring_hits(heads, ["reference_id", "brand"], "head", needles, ("brand",))
-    pairs = hits.join(needles, ["brand", "needle"]).select("citation_id", "reference_id").distinct()
-    scored = (
-        pairs.join(parsed.select("citation_id", "p"), "citation_id")
-        .join(heads.select("reference_id", "head"), "reference_id")
-        .withColumn("confidence", score_citation(F.col("p"), F.col("head")))
-        .filter((F.col("confidence") > 0) & (F.col("confidence") >= min_score))
-    )
-    best = scored.groupBy("citation_id").agg(F.max(F.struct("confidence", (-F.col("reference_id")).alias("r"))).alias("b"))
-    return best.select("citation_id", (-F.col("b.r")).alias("reference_id"), F.col("b.confidence").alias("confidence"))
+    needles = citation_needles(parsed)
+    hits = substring_hits(heads, ["reference_id", "brand"], "head", needles.select("brand", "needle"), ("brand",))
+    postings = durable(hits.select("brand", "needle", F.col("reference_id").alias("item")))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(parsed.select(F.col("citation_id").alias("query_id"), "p"), "query_id").join(
+            heads.select(F.col("reference_id").alias("item"), "head"), "item")
+        return rows.withColumn("score", score_citation(F.col("p"), F.col("head"))).filter(F.col("score") > 0)
+
+    out = topk.best(needles, postings, score, 1, ["brand"], min_score).filter(F.col("score") >= min_score)
+    return out.select(F.col("query_id").alias("citation_id"), F.col("item").alias("reference_id"), F.col("score").alias("confidence"))
 
 
 def citation_tier(claims: DataFrame, page_refs: DataFrame, references: DataFrame, keep: float = config.CITATION_KEEP,
@@ -322,46 +327,66 @@ def score_name() -> Column:
     return F.when(n == "", 0.0).when(equal, 0.95).when(inside, 0.7).otherwise(F.round(F.greatest(*[share(x) for x in names]), 9))
 
 
-def candidate_pairs(parsed: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs that can score: equal DOI, equal first author, a shared author token, or a name route.
+# What a document can score that is met by a key of this kind.
+ROUTE_CAPS = {"doi": 1.0, "first": 0.98, "author": 0.76, "equal": 0.95, "inside": 0.7, "around": 0.7, "word": 0.5}
+
+
+def citation_routes(parsed: DataFrame, index: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Keys by which a citation and a document can meet, as needles (query_id, needle, part, weight, least) and postings (needle, item).
 
-    Name routes: equal normalised name; two shared name words; the name contained in the citation or the
-    citation in the name, looked up through their words.
+    Routes: equal DOI, equal first author, a shared author token, equal name, the name contained in the citation or the citation in
+    the name (looked up through their words), two shared name words.
     """
-    def route(left: DataFrame, right: DataFrame) -> DataFrame:
-        return left.join(right, "key").select("citation_id", "reference_id")
-
-    routes = [
-        route(parsed.select("citation_id", F.col("doi").alias("key")), index.select("reference_id", F.col("m_doi").alias("key"))),
-        route(parsed.select("citation_id", F.col("first_author").alias("key")), index.select("reference_id", F.col("m_first").alias("key"))),
-        route(parsed.select("citation_id", F.explode("tokens").alias("key")), index.select("reference_id", F.explode("m_auth").alias("key"))),
-    ]
-    for name in ("name_n", "orig_n"):
-        routes.append(route(parsed.filter("normalized <> ''").select("citation_id", F.col("normalized").alias("key")),
-                            index.select("reference_id", F.col(name).alias("key"))))
-        named = index.filter(F.length(name) >= 4).select("reference_id", F.col(name).alias("text"))
-        # contained names, both ways: the inner text is a needle of the outer text
-        inner = substring_hits(parsed, ["citation_id"], "normalized", named.select(F.col("text").alias("needle")))
-        routes.append(inner.join(named.withColumnRenamed("text", "needle"), "needle").select("citation_id", "reference_id"))
-        outer = substring_hits(named, ["reference_id"], "text", parsed.select(F.col("normalized").alias("needle")))
-        routes.append(outer.join(parsed.select("citation_id", F.col("normalized").alias("needle")), "needle").select("citation_id", "reference_id"))
-        words = index.select("reference_id", F.explode(F.array_distinct(tx.cite_keywords(F.col(name)))).alias("key"))
-        routes.append(route(parsed.select("citation_id", F.explode("tokens").alias("key")), words))
-    return reduce(lambda a, b: a.unionByName(b), routes).distinct()
+    needles, postings = [], []
+
+    def key(route: str, text: Column) -> Column:
+        return F.concat(F.lit(route + "\x1f"), text)
+
+    def add(route: str, left: DataFrame, right: DataFrame) -> None:
+        # a share of words counts from two of them on
+        needles.append(left.select(F.col("citation_id").alias("query_id"), key(route, F.col("key")).alias("needle"), F.lit(route).alias("part"),
+                                   F.lit(ROUTE_CAPS[route]).alias("weight"), F.lit(2 if route == "word" else 1).alias("least")))
+        postings.append(right.select(key(route, F.col("key")).alias("needle"), F.col("reference_id").alias("item")))
+
+    def cited(value: Column) -> DataFrame:
+        return parsed.select("citation_id", value.alias("key"))
+
+    def known(value: Column) -> DataFrame:
+        return index.select("reference_id", value.alias("key"))
+
+    add("doi", cited(F.col("doi")), known(F.col("m_doi")))
+    add("first", cited(F.col("first_author")), known(F.col("m_first")))
+    add("author", cited(F.explode("tokens")), known(F.explode("m_auth")))
+    named = index.select("reference_id", F.explode(F.array_distinct(F.array("name_n", "orig_n"))).alias("key"))
+    whole = cited(F.col("normalized")).filter("key <> ''")
+    add("equal", whole, named)
+    long_names = named.filter(F.length("key") >= 4)
+    inner = substring_hits(parsed, ["citation_id"], "normalized", long_names.select(F.col("key").alias("needle")))
+    add("inside", inner.select("citation_id", F.col("needle").alias("key")), long_names)
+    outer = substring_hits(long_names.select("key").distinct(), ["key"], "key", whole.select(F.col("key").alias("needle")))
+    add("around", whole, outer.join(long_names, "key").select("reference_id", F.col("needle").alias("key")))
+    add("word", cited(F.explode("tokens")), named.select("reference_id", F.explode(F.array_distinct(tx.cite_keywords(F.col("key")))).alias("key")))
+    union = lambda rows: reduce(lambda a, b: a.unionByName(b), rows).filter("needle IS NOT NULL").distinct()
+    return union(needles), union(postings)
 
 
 def match_citations(citations: DataFrame, index: DataFrame, mode: str = "server", floor: float = config.LIBRARY_CITATION_MIN) -> DataFrame:
-    """Best library document per citation: citation_id, reference_id, score.
+    """Best library document per citation: citation_id, reference_id, score; equal ones go to the smaller id.
 
-    ``mode`` ui uses the name only where the metadata say nothing, server takes the better of both.
+    ``mode`` ui uses the name only where the metadata say nothing, server takes the better of both.  A key that most documents share is
+    not expanded for a citation that a rarer key has settled at a higher score (see topk.py).
     """
     parsed = parsed_citations(citations)
-    rows = candidate_pairs(parsed, index).join(parsed, "citation_id").join(index, "reference_id")
+    needles, postings = citation_routes(parsed, index)
     meta, name = score_metadata(), score_name()
-    score = F.greatest(meta, name) if mode == "server" else F.when(meta > 0, meta).otherwise(name)
-    scored = rows.select("citation_id", "reference_id", score.alias("score")).filter(F.col("score") >= floor)
-    best = scored.groupBy("citation_id").agg(F.max(F.struct("score", (-F.col("reference_id")).alias("r"))).alias("b"))
-    return best.select("citation_id", (-F.col("b.r")).alias("reference_id"), F.col("b.score").alias("score"))
+    value = F.greatest(meta, name) if mode == "server" else F.when(meta > 0, meta).otherwise(name)
+
+    def score(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(parsed.withColumnRenamed("citation_id", "query_id"), "query_id").join(index.withColumnRenamed("reference_id", "item"), "item")
+        return rows.select("query_id", "item", value.alias("score")).filter(F.col("score") >= floor)
+
+    out = topk.best(durable(needles), durable(postings), score, 1, [], floor, "max")
+    return out.select(F.col("query_id").alias("citation_id"), F.col("item").alias("reference_id"), "score")
 
 
 # ---- printed pages ----

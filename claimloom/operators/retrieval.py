@@ -13,9 +13,11 @@ from pyspark.sql import functions as F
 from claimloom import config
 from claimloom.functions import text as tx
 from claimloom.functions import vectors as vx
+from claimloom.operators import topk
 from claimloom.operators.joins import fetch, salted_join
 from claimloom.operators.nearest import RANK_DIGITS, knn, knn_lsh, top_rows  # noqa: F401
 from claimloom.operators.postings import substring_hits
+from claimloom.session import durable
 
 
 def knn_within(claims: DataFrame, passages: DataFrame, scope: DataFrame, pool: int = config.CANDIDATE_POOL) -> DataFrame:
@@ -145,17 +147,33 @@ def fact_anchor(claims: DataFrame, fact_sets: DataFrame, min_similarity: float =
     )
 
 
+def keyword_needles(claims: DataFrame) -> DataFrame:
+    """query_id, brand, needle, n_kw of the keywords of each claim."""
+    kw = claims.select(F.col("claim_id").alias("query_id"), "brand", tx.keywords(F.col("text")).alias("kw")).filter(F.size("kw") > 0)
+    return kw.select("query_id", "brand", F.size("kw").alias("n_kw"), F.explode("kw").alias("needle"))
+
+
+def best_by_keywords(needles: DataFrame, postings: DataFrame, k: int) -> DataFrame:
+    """claim_id, reference_id, score, rank: the k references that hold most of a claim's keywords.
+
+    postings: brand, needle, reference_id.  Keywords that nearly every reference holds do not make their lists meet
+    every claim (see topk.py); counts are whole numbers until the share is taken.
+    """
+    scope = ["brand"]
+    postings = durable(postings.select("brand", "needle", F.col("reference_id").alias("item")))
+    weighted = needles.select("query_id", "brand", "needle", F.col("needle").alias("part"), F.lit(1.0).alias("weight"))
+    out = topk.best(weighted, postings, topk.held_weight(weighted, postings, scope), k, scope)
+    sizes = needles.select("query_id", "n_kw").distinct()
+    return out.join(sizes, "query_id").select(
+        F.col("query_id").alias("claim_id"), F.col("item").alias("reference_id"), (F.col("score") / F.col("n_kw")).alias("score"), "rank"
+    )
+
+
 def keyword_prefilter(claims: DataFrame, references: DataFrame, k: int = 5) -> DataFrame:
     """References of the brand that share keywords with a claim, best ``k`` by share."""
-    kw = claims.select("claim_id", "brand", tx.keywords(F.col("text")).alias("kw")).filter(F.size("kw") > 0)
-    needles = kw.select("claim_id", "brand", F.size("kw").alias("n_kw"), F.explode("kw").alias("needle"))
-    hits = substring_hits(references, ["reference_id", "brand"], "content_text", needles, ("brand",))
-    pairs = hits.join(needles, ["brand", "needle"])
-    scored = pairs.groupBy("claim_id", "reference_id", "n_kw").agg(F.count("*").alias("hits")).select(
-        "claim_id", "reference_id", (F.col("hits") / F.col("n_kw")).alias("score")
-    )
-    w = Window.partitionBy("claim_id").orderBy(F.desc("score"), F.asc("reference_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    needles = keyword_needles(claims)
+    hits = substring_hits(references, ["reference_id", "brand"], "content_text", needles.select("brand", "needle"), ("brand",))
+    return best_by_keywords(needles, hits, k)
 
 
 def semantic_fallback(reranked: DataFrame, min_semantic: float = config.FALLBACK_MIN_SEMANTIC,
@@ -207,28 +225,35 @@ def fact_keyword_tier(claims: DataFrame, facts: DataFrame, feedback: DataFrame,
     """Facts whose keywords mostly occur in a claim, weighted by reviewer feedback on the fact set.
 
     facts: reference_id, brand, fact_no, text, keywords; feedback: reference_id, confirmed, rejected.
+
+    Facts of one brand, keyword set and weight score alike, so the first of them stands for all.  A fact that must find t of its n keywords
+    finds one of its n - t + 1 rarest, so only their lists are expanded; the other keywords are looked up claim by claim.
     """
-    n = facts.withColumn("n_kw", F.size(F.array_distinct("keywords"))).filter("n_kw > 0")
-    needles = n.select("reference_id", "brand", "fact_no", "n_kw", F.explode(F.array_distinct("keywords")).alias("needle"))
-    hits = substring_hits(claims, ["claim_id", "brand"], "text", needles, ("brand",))
-    found = hits.join(needles, ["brand", "needle"])
-    share = found.groupBy("claim_id", "reference_id", "fact_no", "n_kw").agg(F.count("*").alias("hits"))
-    scored = share.withColumn("share", F.col("hits") / F.col("n_kw"))
     weight = (
         F.when((F.col("confirmed") > 0) & (F.col("rejected") == 0), 1.1)
         .when(F.col("rejected") > F.col("confirmed"), 0.8)
         .otherwise(1.0)
     )
-    w = Window.partitionBy("claim_id").orderBy(F.desc("score"), F.asc("reference_id"), F.asc("fact_no"))
-    return (
-        scored.join(feedback, "reference_id", "left")
-        .na.fill({"confirmed": 0, "rejected": 0})
-        .withColumn("score", F.round(F.col("share") * weight, RANK_DIGITS))
-        .filter(F.col("score") >= min_share)
-        .withColumn("rank", F.row_number().over(w))
-        .filter("rank = 1")
-        .select("claim_id", "reference_id", "fact_no", "share", "score")
-    )
+    rows = facts.withColumn("keywords", F.array_sort(F.array_distinct("keywords"))).filter(F.size("keywords") > 0)
+    rows = rows.join(feedback, "reference_id", "left").na.fill({"confirmed": 0, "rejected": 0}).withColumn("weight", weight)
+    sets = rows.groupBy("brand", "keywords", "weight").agg(F.min(F.struct("reference_id", "fact_no")).alias("first"))
+    n = F.size("keywords")
+    sets = durable(sets.select(F.md5(F.concat_ws("\x1f", "brand", F.col("weight").cast("string"), "keywords")).alias("set_id"), "brand", "weight", "first", "keywords", n.alias("n_kw"),
+                               F.ceil(F.lit(min_share) / F.col("weight") * n - 1e-9).cast("int").alias("wanted")).filter("wanted <= n_kw"))
+    needles = sets.select("brand", F.explode("keywords").alias("needle")).distinct()
+    postings = durable(substring_hits(claims, ["claim_id", "brand"], "text", needles, ("brand",)))
+    lists = postings.groupBy("brand", "needle").agg(F.count("*").alias("n_claims"))
+    asked = sets.select("set_id", "brand", "n_kw", "wanted", F.explode("keywords").alias("needle"))
+    listed = asked.join(lists, ["brand", "needle"], "left").na.fill(0, ["n_claims"])
+    # one window is the keywords of one fact
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("n_claims", "needle"))
+    rare = listed.withColumn("place", place).filter((F.col("place") <= F.col("n_kw") - F.col("wanted") + 1) & (F.col("n_claims") > 0))
+    pairs = salted_join(postings, rare.select("set_id", "brand", "needle"), ["brand", "needle"], ["claim_id"]).select("set_id", "claim_id").distinct()
+    hits = pairs.join(asked, "set_id").join(postings, ["brand", "needle", "claim_id"]).groupBy("set_id", "claim_id").agg(F.count("*").alias("hits"))
+    scored = hits.join(sets.select("set_id", "n_kw", "weight", "first"), "set_id").withColumn("share", F.col("hits") / F.col("n_kw")).withColumn(
+        "score", F.round(F.col("share") * F.col("weight"), RANK_DIGITS)).filter(F.col("score") >= min_share)
+    best = scored.groupBy("claim_id").agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("first"), F.col("share"))).alias("b"))
+    return best.select("claim_id", "b.first.reference_id", "b.first.fact_no", "b.share", (-F.col("b.s")).alias("score"))
 
 
 def select_candidate(responses: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -348,9 +348,9 @@ def apply_match_confidence(spark, d):
 
 
 def keyword_facts(spark, d):
-    """Statements of two to eight keywords as facts."""
+    """Statements with their keywords as facts."""
     s = b.statements(spark, d)
-    kw = F.slice(tx.keywords(F.col("stmt")), 1, 4)
+    kw = tx.keywords(F.col("stmt"))
     return s.select(
         F.col("doc_id").alias("reference_id"), F.col("source").alias("brand"), F.col("line_no").alias("fact_no"),
         F.col("stmt").alias("text"), kw.alias("keywords"),
@@ -364,14 +364,7 @@ def fact_votes(spark, d):
     )
 
 
-# the first four distinct keywords in order of appearance
-fragment(
-    "statement_keywords",
-    f"""SELECT doc_id, source, line_no, list_transform(list_sort(list(DISTINCT {{'i': list_position(ws, w), 'w': w}}))[1:4], s -> s.w) AS kw
-    FROM (SELECT doc_id, source, line_no, ws, unnest(ws) AS w FROM (
-      SELECT doc_id, source, line_no, {sql_keywords("stmt").removeprefix("list_distinct")} AS ws FROM statements)) GROUP BY doc_id, source, line_no""",
-    "statements",
-)
+fragment("statement_keywords", f"SELECT doc_id, source, line_no, {sql_keywords('stmt')} AS kw FROM statements", "statements")
 
 
 @query(
@@ -381,7 +374,7 @@ fragment(
         WHEN rejected > confirmed THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END, 9) AS score
       FROM (SELECT c.claim_id, f.doc_id AS reference_id, f.line_no AS fact_no, coalesce(v.confirmed, 0) AS confirmed,
           coalesce(v.rejected, 0) AS rejected, len(list_filter(kw, n -> contains(lower(c.text), n)))::DOUBLE / len(kw) AS share
-        FROM claims c JOIN statement_keywords f ON f.source = c.brand
+        FROM claims c JOIN statement_keywords f ON f.source = c.brand AND len(kw) > 0
         LEFT JOIN (SELECT doc_id, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS confirmed,
           sum(CASE WHEN quality = 1 THEN 0 ELSE 1 END) AS rejected FROM labels GROUP BY doc_id) v ON v.doc_id = f.doc_id))
     WHERE score >= 0.75 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, reference_id, fact_no) = 1""",
