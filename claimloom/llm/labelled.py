@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import pickle
 import zlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import fold
+from claimloom.llm.common import arrow_map, fold
 
 # Most labelled documents a model is fitted on.
 SAMPLE = 6000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, residue: int, modulus: int, held_out: bool, limit: int = SAMPLE) -> list[tuple[str, int]]:
-    """(text, label) of at most ``limit`` labelled rows, taken in the order of a hash of their ids.
+def fitted(docs: DataFrame, labels: DataFrame, label: str, residue: int, modulus: int, held_out: bool, fit: Callable, limit: int = SAMPLE):
+    """``fit`` of the (text, label) list of at most ``limit`` labelled rows, taken in the order of a hash of their ids.
 
     Rows whose crc32 leaves ``residue`` are the held-out ones if ``held_out``, else the only ones to learn from.  Null ids and
-    null labels are passed over; several labels of one id count as the largest.  Only ``limit`` ids are broadcast.
+    null labels are passed over; several labels of one id count as the largest.  Only ``limit`` ids are broadcast.  The fit runs in
+    one task, so the texts never reach the driver; only the model does.
     """
     usable = fold("doc_id", residue, modulus)
     usable = ~usable if held_out else usable
@@ -26,7 +29,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, residue: int, modulus
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = ids.orderBy(*order).limit(limit)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(limit)
-    return [(r.text or "", int(r.y)) for r in rows.collect()]
+
+    def run(batches):
+        yield {"model": [pickle.dumps(fit([(t or "", int(y)) for b in batches for t, y in zip(b["text"], b["y"])]))]}
+
+    models = arrow_map(rows.select("text", "y").coalesce(1), run, "model binary").collect()
+    # an empty table may have no task at all
+    return pickle.loads(models[0].model) if models else fit([])
 
 
 class WordHash(dict):

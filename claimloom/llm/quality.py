@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import arrow_map, fold, kept_by_worker, lower_ascii, words_of
-from claimloom.llm.labelled import SAMPLE, WordHash, sample
+from claimloom.llm.labelled import SAMPLE, WordHash, fitted
 
 BITS = 20
 # Training makes at least this many updates, in three passes or more.
@@ -78,6 +78,6 @@ def classify(docs: DataFrame, labels: DataFrame, residue: int, modulus: int, thr
     A null or empty text is scored by the intercept.  Without labelled rows every score is 0.5.  Null ids are scored and not
     held out; repeated rows are scored alike; other columns are ignored; an empty table gives an empty result.
     """
-    scored = score(docs, train(sample(docs, labels, "quality", residue, modulus, True, limit)))
+    scored = score(docs, fitted(docs, labels, "quality", residue, modulus, True, train, limit))
     predicted = (F.col("score") >= threshold).cast("int")
     return scored.select("doc_id", fold("doc_id", residue, modulus).alias("held_out"), "score", predicted.alias("predicted"))

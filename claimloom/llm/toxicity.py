@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm.common import WORD, arrow_map, fold, kept_by_worker, lower_ascii, words_of
-from claimloom.llm.labelled import SAMPLE, sample
+from claimloom.llm.labelled import SAMPLE, fitted
 
 # Lengths of the word beginnings that are features besides the whole word.
 PREFIXES = (3, 5, 7)
@@ -382,7 +382,7 @@ def keep_clean(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFra
 
 
 def train(docs: DataFrame, labels: DataFrame, residue: int, modulus: int, limit: int = SAMPLE) -> Field:
-    return Field().fit(sample(docs, labels, "toxic", residue, modulus, True, limit))
+    return fitted(docs, labels, "toxic", residue, modulus, True, lambda rows: Field().fit(rows), limit)
 
 
 def classify(docs: DataFrame, labels: DataFrame, residue: int, modulus: int, threshold: float = 0.5, limit: int = SAMPLE) -> DataFrame:
