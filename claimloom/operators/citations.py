@@ -124,7 +124,8 @@ def best_citation(citations: DataFrame, references: DataFrame, min_score: float
     that most references share are not expanded where a rarer part has settled the citation (see topk.py).
     """
     parsed = citations.withColumn("p", parse_citation(F.col("citation_text"))).filter(F.col("p").isNotNull())
-    heads = references.select("reference_id", "brand", reference_head(F.col("display_alias"), F.col("content_text")).alias("head"))
+    head = F.col("head") if "head" in references.columns else reference_head(F.col("display_alias"), F.col("content_text"))
+    heads = references.select("reference_id", "brand", head.alias("head"))
     needles = citation_needles(parsed)
     hits = substring_hits(heads, ["reference_id", "brand"], "head", needles.select("brand", "needle"), ("brand",))
     postings = durable(hits.select("brand", "needle", F.col("reference_id").alias("item")))

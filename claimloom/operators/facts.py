@@ -100,9 +100,9 @@ def fact_blocks(pages: DataFrame) -> DataFrame:
 
 def fact_segments(blocks: DataFrame, per_page: int = config.FACTS_PER_PAGE) -> DataFrame:
     """Best scored blocks and sentences of a page: doc_id, page, text, score, seg_rank."""
-    whole = blocks.select("doc_id", "page", "block_no", F.lit(-1).alias("pos"), F.col("block").alias("text"))
-    parts = blocks.select("doc_id", "page", "block_no", F.posexplode(tx.sentences(F.col("block"))).alias("pos", "text"))
-    rows = whole.unionByName(parts.filter(~is_noise(F.col("text"))))
+    # the block itself stands ahead of its sentences
+    both = F.concat(F.array("block"), tx.sentences(F.col("block")))
+    rows = blocks.select("doc_id", "page", "block_no", F.posexplode(both).alias("pos", "text")).filter((F.col("pos") == 0) | ~is_noise(F.col("text")))
     scored = rows.withColumn("score", fact_score(F.col("text"))).filter("score >= 2").withColumn("text", clean(F.col("text")))
     # the first segment of the best score stands for a lower-case text; its place is that of the first one seen
     best = scored.groupBy("doc_id", "page", F.lower("text").alias("k")).agg(

@@ -152,7 +152,11 @@ fragment(
 
 def claims(spark, d) -> DataFrame:
     """User turns as claims to match: claim_id, brand, page, text, confidence."""
-    t = table(spark, d, "conversations").filter(F.col("role") == "user")
+    return claims_of(table(spark, d, "conversations"))
+
+
+def claims_of(turns: DataFrame) -> DataFrame:
+    t = turns.filter(F.col("role") == "user")
     tail = F.when(
         F.col("conv_id") % 2 == 0,
         F.concat(F.lit(" Relapse fell by "), (F.col("conv_id") % 97).cast("string"), F.lit("% (p<0.0"),
@@ -222,11 +226,11 @@ fragment(
 )
 
 
-def claim_vectors(spark, d) -> DataFrame:
-    """Claims with a vector."""
+def claim_vectors(spark, d, rows: DataFrame | None = None) -> DataFrame:
+    """Claims (all, or the given ones) with a vector."""
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     total = table(spark, d, "embeddings").agg(F.count("*")).scalar()
-    c = claims(spark, d).withColumn("slot", F.floor(F.col("claim_id") / 1000) * 17 + F.col("page"))
+    c = (claims(spark, d) if rows is None else rows).withColumn("slot", F.floor(F.col("claim_id") / 1000) * 17 + F.col("page"))
     return c.withColumn("vec_id", F.col("slot") % total).join(vectors, "vec_id").drop("slot", "vec_id")
 
 
@@ -238,19 +242,25 @@ fragment(
 )
 
 
+def stmt_pages(spark, d) -> DataFrame:
+    """Statements as page texts; one group is one page."""
+    g = statements(spark, d).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "stmt"))).alias("l"))
+    return g.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["stmt"]), "\n").alias("text"))
+
+
 def fact_sets(spark, d) -> DataFrame:
-    """Per document, its numbered statements as facts, with a vector: reference_id, brand, facts, embedding."""
-    k = (F.col("doc_id") * 7 + F.col("line_no")) % 7
-    rows = statements(spark, d).filter(k <= 1)
-    # one group is one document
-    sets = rows.groupBy("doc_id", "source").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", F.col("stmt").alias("text"), "page"))).alias("f")
-    )
+    """Per document, the facts mined from all its pages, with a vector: reference_id, brand, facts, embedding."""
+    from claimloom.operators.facts import mine_facts
+
+    order = F.struct(F.length("fact_id").alias("n"), "fact_id", "text", "page")
+    # one group is the facts of one document, at most ten a page
+    sets = mine_facts(stmt_pages(spark, d)).groupBy("doc_id").agg(F.array_sort(F.collect_list(order)).alias("f"))
+    facts = F.transform("f", lambda f: F.struct(f["text"].alias("text"), f["page"].alias("page")))
     vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
     total = table(spark, d, "embeddings").agg(F.count("*")).scalar()
-    facts = F.transform("f", lambda f: F.struct(f["text"].alias("text"), f["page"].alias("page")))
+    brands = table(spark, d, "documents").select("doc_id", F.col("source").alias("brand"))
     return (
-        sets.select(F.col("doc_id").alias("reference_id"), F.col("source").alias("brand"), facts.alias("facts"))
+        sets.join(brands, "doc_id").select(F.col("doc_id").alias("reference_id"), "brand", facts.alias("facts"))
         .withColumn("vec_id", (F.col("reference_id") * 31 + 1) % total)
         .join(vectors, "vec_id")
         .drop("vec_id")
@@ -260,8 +270,8 @@ def fact_sets(spark, d) -> DataFrame:
 fragment(
     "fact_sets",
     """SELECT s.*, embedding::DOUBLE[] AS embedding FROM (
-      SELECT doc_id AS reference_id, source AS brand, list({'text': stmt, 'page': page} ORDER BY line_no) AS facts
-      FROM statements WHERE (doc_id * 7 + line_no) % 7 <= 1 GROUP BY ALL) s
+      SELECT doc_id AS reference_id, source AS brand, list({'text': f.text, 'page': page} ORDER BY fact_no) AS facts
+      FROM facts f JOIN documents USING (doc_id) GROUP BY doc_id, source) s
     JOIN embeddings ON vec_id = (reference_id * 31 + 1) % (SELECT count(*) FROM embeddings)""",
-    "statements",
+    "facts",
 )

@@ -189,12 +189,6 @@ def locate_excerpt(spark, d):
 # ---- facts ----
 
 
-def stmt_pages(spark, d):
-    """Statements as page texts; one group is one page."""
-    g = b.statements(spark, d).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("line_no", "stmt"))).alias("l"))
-    return g.select("doc_id", "page", F.array_join(F.transform("l", lambda x: x["stmt"]), "\n").alias("text"))
-
-
 _NOISE = "(length({c}) < 24 OR len(string_split({c}, ' ')) < 4 OR regexp_matches({c}, '(?i)^(?:copyright|all rights reserved|references|contents|table of contents)\\b'))"
 
 
@@ -239,7 +233,7 @@ def sql_fact_keywords(c):
     f"SELECT DISTINCT doc_id, page, stmt AS block FROM statements WHERE NOT {_NOISE.format(c='stmt')}", ("statements",),
 )
 def fact_blocks(spark, d):
-    return fc.fact_blocks(stmt_pages(spark, d)).select("doc_id", "page", "block")
+    return fc.fact_blocks(b.stmt_pages(spark, d)).select("doc_id", "page", "block")
 
 
 @query("f02_fact_score", f"SELECT doc_id, ord, {sql_score('text')}::BIGINT AS score FROM sentence_rows", ("sentence_rows",))
@@ -267,7 +261,7 @@ fragment(
 
 @query("f03_fact_segments", "SELECT doc_id, page, text, score::BIGINT AS score, seg_rank FROM segments", ("segments",))
 def fact_segments(spark, d):
-    return fc.fact_segments(fc.fact_blocks(stmt_pages(spark, d))).select("doc_id", "page", "text", long("score"), long("seg_rank"))
+    return fc.fact_segments(fc.fact_blocks(b.stmt_pages(spark, d))).select("doc_id", "page", "text", long("score"), long("seg_rank"))
 
 
 @query("f04_fact_category", f"SELECT doc_id, ord, {sql_category('text')} AS category FROM sentence_rows", ("sentence_rows",))
@@ -299,12 +293,12 @@ fragment(
     "f06_normalize_facts", "SELECT doc_id, 'fact_' || lpad(fact_no::VARCHAR, greatest(3, length(fact_no::VARCHAR))::INT, '0') AS fact_id, page, text FROM facts", ("facts",),
 )
 def normalize_facts(spark, d):
-    return fc.mine_facts(stmt_pages(spark, d)).select("doc_id", "fact_id", "page", "text")
+    return fc.mine_facts(b.stmt_pages(spark, d)).select("doc_id", "fact_id", "page", "text")
 
 
 @query("f07_mine_facts", "SELECT doc_id, page, category, keywords, md5(text) AS text_md5 FROM facts", ("facts",))
 def mine_facts(spark, d):
-    f = fc.mine_facts(stmt_pages(spark, d))
+    f = fc.mine_facts(b.stmt_pages(spark, d))
     return f.select("doc_id", "page", "category", F.array_join("keywords", "|").alias("keywords"), F.md5("text").alias("text_md5"))
 
 
@@ -366,10 +360,10 @@ def merge_facts(spark, d):
 # ---- the cascade ----
 
 
-def cascade_inputs(spark, d):
-    """Claims of every fourth conversation cite the opening words of their library document; every fifth has no vector, every
+def cascade_inputs(spark, d, rows=None):
+    """Claims (all, or the given ones) of every fourth conversation cite the opening words of their library document; every fifth has no vector, every
     seventh belongs to a brand without a library.  The model picks the first candidate, or nothing in every tenth."""
-    c = b.claim_vectors(spark, d)
+    c = b.claim_vectors(spark, d, rows)
     conv = F.floor(F.col("claim_id") / 1000)
     vector = F.when(conv % 5 != 3, F.col("embedding"))
     c = c.withColumn("embedding", vector).withColumn("brand", F.when(conv % 7 == 5, "nowhere").otherwise(F.col("brand")))
