@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import gc
+import multiprocessing
+import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -58,6 +60,19 @@ def kept_by_worker(name, make):
     return _KEPT[1]
 
 
+def apart(fn):
+    """The result of ``fn`` from a child process, whose memory goes back to the system with it; workers live on after a task."""
+    fork = multiprocessing.get_context("fork")
+    receive, send = fork.Pipe(duplex=False)
+    child = fork.Process(target=lambda: send.send_bytes(pickle.dumps(fn())))
+    child.start()
+    send.close()
+    try:
+        return pickle.loads(receive.recv_bytes())
+    finally:
+        child.join()
+
+
 def fold(id_col: str, residue: int, modulus: int) -> Column:
     """True for rows whose crc32 of the id as text leaves ``residue``; false for a null id."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == residue, F.lit(False))

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import arrow_map, fold
+from claimloom.llm.common import apart, arrow_map, fold
 
 # Most labelled documents a model is fitted on.
 SAMPLE = 6000
@@ -31,7 +31,8 @@ def fitted(docs: DataFrame, labels: DataFrame, label: str, residue: int, modulus
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").orderBy(*order, "text").limit(limit)
 
     def run(batches):
-        yield {"model": [pickle.dumps(fit([(t or "", int(y)) for b in batches for t, y in zip(b["text"], b["y"])]))]}
+        labelled = [(t or "", int(y)) for b in batches for t, y in zip(b["text"], b["y"])]
+        yield {"model": [pickle.dumps(apart(lambda: fit(labelled)))]}
 
     models = arrow_map(rows.select("text", "y").coalesce(1), run, "model binary").collect()
     # an empty table may have no task at all
