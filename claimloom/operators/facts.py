@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimloom import config
 from claimloom.functions import text as tx
+from claimloom.operators.prefix import running_totals
 
 # Category patterns, the order that settles ties, stop words and noise starts.
 CATEGORY_WORDS = {
@@ -140,13 +141,14 @@ def fact_line(alias: Column, text: Column, category: Column, cap: int = config.I
 def fact_inventory(facts: DataFrame, brand: str, order: list[str], header_chars: int, budget: int = config.INVENTORY_MAX_CHARS) -> DataFrame:
     """Inventory lines of a brand in order, up to the first that would pass the budget.
 
-    Only the first ``budget`` lines in order can fit, so the running sum is taken over a bounded head.
+    ``order`` tells lines of a brand apart.  Running sums are taken partition by partition, and partitions that begin beyond the budget are
+    left out, so no brand is sorted in one task (see prefix.py).
     """
     lines = facts.withColumn("line", fact_line(F.col("alias"), F.col("text"), F.col("category"))).filter("line IS NOT NULL")
-    ranked = lines.withColumn("line_no", F.row_number().over(Window.partitionBy(brand).orderBy(*order))).filter(F.col("line_no") <= budget)
-    w = Window.partitionBy(brand).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.length("line") + 1).over(w) + header_chars
-    return ranked.withColumn("total_chars", total).filter(F.col("total_chars") <= budget)
+    size = F.length("line") + 1
+    sums = running_totals(lines, [brand], order, {"before": size, "earlier": F.lit(1)}, budget - header_chars)
+    rows = sums.withColumn("line_no", (F.col("earlier") + 1).cast("int")).withColumn("total_chars", F.col("before") + size + header_chars)
+    return rows.drop("before", "earlier").filter(F.col("total_chars") <= budget)
 
 
 def fact_summary(docs: DataFrame, facts: DataFrame) -> DataFrame:

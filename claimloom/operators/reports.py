@@ -72,16 +72,31 @@ def pipeline_summary(matches: DataFrame, keys: list[str]) -> DataFrame:
     return out.groupBy(*keys, "outcome").agg(F.count("*").alias("n"))
 
 
-def nearest_rank(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float]) -> DataFrame:
-    """Exact nearest-rank percentiles: counts per distinct value first, then a running sum in value order."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    order = Window.partitionBy(*keys).orderBy(value)
-    whole = Window.partitionBy(*keys)
-    running = counts.withColumn("upto", F.sum("n").over(order)).withColumn("total", F.sum("n").over(whole))
-    picks = [
-        F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * p - 1e-9)), F.col(value))).alias(name)
-        for name, p in probabilities.items()
-    ]
+def nearest_rank(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], bins: int = 64) -> DataFrame:
+    """Exact nearest-rank percentiles by order statistics.
+
+    Approximate quantiles cut the values of each key into bins of about equal weight; the exact weights of the bins tell which one holds a
+    rank, and only the values of that bin are put in order.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    cuts = known.groupBy(*keys).agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10_000).alias("cuts"), F.count("*").alias("total"))
+    counts = known.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    binned = counts.join(cuts.drop("total"), keys).withColumn("bin", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
+    # at most ``bins`` entries per key
+    weights = binned.groupBy(*keys, "bin").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("bin", "n"))).alias("weights"))
+
+    def place(rank: Column) -> Column:
+        """Bin of a rank and the weight of the bins before it."""
+        start = F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("upto"), F.lit(-1).alias("bin"))
+        return F.aggregate("weights", start, lambda at, w: F.when(at["upto"] >= rank, at).otherwise(
+            F.struct(at["upto"].alias("before"), (at["upto"] + w["n"]).alias("upto"), w["bin"].alias("bin"))))
+
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("total") * p - 1e-9)).cast("long").alias("rank")) for name, p in probabilities.items()])
+    asked = weights.join(cuts.select(*keys, "total"), keys).select(*keys, F.explode(F.transform(ranks, lambda r: F.struct(r["name"].alias("name"), r["rank"].alias("rank"), place(r["rank"]).alias("at")))).alias("r"))
+    asked = asked.select(*keys, "r.name", "r.rank", "r.at.bin", "r.at.before")
+    inside = Window.partitionBy(*keys, "bin", "name").orderBy(value)
+    running = binned.join(asked, [*keys, "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(inside))
+    picks = [F.min(F.when((F.col("name") == name) & (F.col("upto") >= F.col("rank")), F.col(value))).alias(name) for name in probabilities]
     return running.groupBy(*keys).agg(*picks)
 
 

@@ -63,3 +63,47 @@ def test_walk_equals_the_plain_loop(spark):
         else:
             slots.append([r, r.pos])
     assert got == sorted((s[0].page, s[0].claim_id, s[1]) for s in slots)
+
+
+def test_a_crowded_page_is_many_components(spark):
+    """10^5 claims of one page hold one common token; only the planted pairs share a rare one."""
+    n = 100_000
+    df = spark.range(n).selectExpr(
+        "1L AS doc", "1 AS page", "id AS ord",
+        "concat('common w', id, 'a ', CASE WHEN id >= 99000 THEN array_join(transform(sequence(1, 5), i -> concat('p', i, 'x', id div 2)), ' ') ELSE concat('w', id, 'b w', id, 'c') END) AS key_text")
+    parts = dd.partner_components(df, dd.min_overlap(0.85, 0.72))
+    sizes = {r["count"] for r in parts.groupBy("component").count().collect()}
+    assert parts.count() == 1000 and sizes == {2}
+
+
+def test_components_join_whatever_shares_a_key(spark):
+    from claimloom.operators.components import components
+
+    rnd = random.Random(1)
+    edges = [(g, i, rnd.randint(0, 60)) for g in (1, 2) for i in range(60) for _ in range(rnd.choice([1, 1, 2]))] + [(3, i, i // 2 * 2 + d) for i in range(400) for d in (0, 1 + i % 2)]
+    got = {(r.g, r.i): r.component for r in components(spark.createDataFrame(edges, "g long, i long, k long"), ["g"], "i", "k").collect()}
+    label = {(g, i): i for g, i, _ in edges}
+    for _ in range(500):
+        best = {}
+        for g, i, k in edges:
+            best[g, k] = min(best.get((g, k), 1 << 60), label[g, i])
+        new = dict(label)
+        for g, i, k in edges:
+            new[g, i] = min(new[g, i], best[g, k])
+        if new == label:
+            break
+        label = new
+    assert got == label
+
+
+def test_percentiles_equal_sorting(spark):
+    from claimloom.operators import reports as rp
+
+    rnd = random.Random(4)
+    data = [("hot", rnd.choice([rnd.random(), 0.5, rnd.gauss(0, 1e6)])) for _ in range(3000)] + [("one", 7.0)] + [("two", float(x)) for x in (1, 2)] + [("two", None)]
+    ps = {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p100": 1.0}
+    got = {r.k: r for r in rp.nearest_rank(spark.createDataFrame(data, "k string, v double"), ["k"], "v", ps).collect()}
+    for k in ("hot", "one", "two"):
+        v = sorted(x for key, x in data if key == k and x is not None)
+        for name, p in ps.items():
+            assert got[k][name] == v[max(1, -int(-(len(v) * p - 1e-9) // 1)) - 1], (k, name)
