@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimloom import config
 from claimloom.functions import text as tx
+from claimloom.operators import topk
 from claimloom.operators.joins import salted_join
 from claimloom.session import durable
 
@@ -112,23 +115,56 @@ def page_words(pages: DataFrame, text_col: str) -> DataFrame:
     return pages.withColumn("words", F.array_distinct(words))
 
 
-def compare_pages(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Best old page per new page of a lineage pair.
+def _page_similarity(a: str, b: str) -> Column:
+    shared = F.size(F.array_intersect(a, b))
+    return F.when(shared > 0, shared / (F.size(a) + F.size(b) - shared)).otherwise(0.0)
+
+
+def compare_pages(pairs: DataFrame, pages: DataFrame, small: int = 256) -> DataFrame:
+    """Best old page per new page of a lineage pair, the first of equally similar ones; null where no word is shared.
 
-    pairs: old_doc, new_doc; pages: doc_id, page, page_text.  Only pages of linked documents meet.
+    pairs: old_doc, new_doc; pages: doc_id, page, page_text.  Documents of few pages (at most ``small`` page pairs) are compared page by
+    page; those of many find the best page through their rarer words (see similar_pages).
     """
     words = page_words(pages, "page_text").select("doc_id", "page", "words")
-    new = pairs.join(words.select(F.col("doc_id").alias("new_doc"), F.col("page").alias("new_page"), F.col("words").alias("nw")), "new_doc")
+    counts = words.groupBy("doc_id").agg(F.count("*").alias("n"))
+    sized = pairs.join(counts.select(F.col("doc_id").alias("new_doc"), F.col("n").alias("n_new")), "new_doc").join(
+        counts.select(F.col("doc_id").alias("old_doc"), F.col("n").alias("n_old")), "old_doc", "left").na.fill(0, ["n_old"])
+    sized = sized.withColumn("many", F.col("n_new") * F.col("n_old") > small)
+    new = sized.join(words.select(F.col("doc_id").alias("new_doc"), F.col("page").alias("new_page"), F.col("words").alias("nw")), "new_doc")
     old = words.select(F.col("doc_id").alias("old_doc"), F.col("page").alias("old_page"), F.col("words").alias("ow"))
-    both = new.join(old, "old_doc", "left")
-    shared = F.size(F.array_intersect("nw", "ow"))
-    sim = F.when(shared > 0, shared / (F.size("nw") + F.size("ow") - shared)).otherwise(0.0)
-    scored = both.withColumn("similarity", F.coalesce(sim, F.lit(0.0)))
+    both = new.filter(~F.col("many")).join(old, "old_doc", "left")
+    scored = both.withColumn("similarity", F.coalesce(_page_similarity("nw", "ow"), F.lit(0.0)))
     best = scored.groupBy("old_doc", "new_doc", "new_page").agg(
         F.max("similarity").alias("similarity"),
         F.max_by("old_page", F.struct("similarity", -F.col("old_page"))).alias("old_page"),
     )
-    return best.withColumn("old_page", F.when(F.col("similarity") > 0, F.col("old_page")))
+    best = best.withColumn("old_page", F.when(F.col("similarity") > 0, F.col("old_page")))
+    large = durable(new.filter("many").select("old_doc", "new_doc", "new_page", "nw"))
+    if large.isEmpty():
+        return best
+    needles, postings, score = similar_pages(large, old)
+    found = topk.best(needles, postings, score, 1, ["old_doc"], combine="each").select("query_id.*", F.col("score").alias("s"), F.col("item").alias("old_page"))
+    rows = large.drop("nw").join(found, ["old_doc", "new_doc", "new_page"], "left")
+    return best.unionByName(rows.select("old_doc", "new_doc", "new_page", F.coalesce("s", F.lit(0.0)).alias("similarity"), "old_page"))
+
+
+def similar_pages(new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Needles, postings and score for the early-terminating search of the most similar old page (see topk.py).
+
+    A page first met at the j-th rarest of the n words of a new page shares at most n - j of them, and its similarity is at most that share.
+    """
+    asked = new.filter(F.size("nw") > 0).select(F.struct("old_doc", "new_doc", "new_page").alias("query_id"), "old_doc", "nw")
+    weight = (1.0 / F.size("nw")).alias("weight")
+    needles = asked.select("query_id", "old_doc", weight, F.explode("nw").alias("needle")).withColumn("part", F.col("needle"))
+    stored = old.join(new.select("old_doc").distinct(), "old_doc", "left_semi")
+    postings = durable(stored.select("old_doc", F.explode("ow").alias("needle"), F.col("old_page").alias("item")))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(asked, "query_id").join(stored.withColumnRenamed("old_page", "item"), ["old_doc", "item"])
+        return rows.withColumn("score", _page_similarity("nw", "ow")).filter(F.col("score") > 0)
+
+    return needles, postings, score
 
 
 def carry_forward(matches: DataFrame, annotations: DataFrame, threshold: float = config.CARRY_FORWARD) -> DataFrame:

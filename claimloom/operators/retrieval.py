@@ -162,7 +162,7 @@ def best_by_keywords(needles: DataFrame, postings: DataFrame, k: int) -> DataFra
     scope = ["brand"]
     postings = durable(postings.select("brand", "needle", F.col("reference_id").alias("item")))
     weighted = needles.select("query_id", "brand", "needle", F.col("needle").alias("part"), F.lit(1.0).alias("weight"))
-    out = topk.best(weighted, postings, topk.held_weight(weighted, postings, scope), k, scope)
+    out = topk.best(weighted, postings, topk.held_weight(weighted, postings, scope), k, scope, combine="each")
     sizes = needles.select("query_id", "n_kw").distinct()
     return out.join(sizes, "query_id").select(
         F.col("query_id").alias("claim_id"), F.col("item").alias("reference_id"), (F.col("score") / F.col("n_kw")).alias("score"), "rank"

@@ -24,7 +24,8 @@ def rare_first(needles: DataFrame, postings: DataFrame, scope: list[str], combin
     """Needles that occur, with their place from the rarest on and the bound of items first met there.
 
     needles: query_id, scope, needle, part, weight and, if wanted, ``least``.  Needles of one part weigh once (words of one name), and only
-    where at least ``least`` of them are left.  ``combine`` adds the weights of parts (sum) or takes the largest (max).
+    where at least ``least`` of them are left.  ``combine`` adds the weights of parts (sum), takes the largest (max), or says that every
+    needle is a part of its own and all of a query weigh the same (each), which needs no look at the rest of the list.
     """
     lists = postings.groupBy(*scope, "needle").agg(F.count("*").alias("n_items"))
     least = F.col("least") if "least" in needles.columns else F.lit(1)
@@ -34,6 +35,8 @@ def rare_first(needles: DataFrame, postings: DataFrame, scope: list[str], combin
     )
 
     def bound(j: Column) -> Column:
+        if combine == "each":
+            return (F.size("list") - j) * F.get("list", F.lit(0))["weight"]
         left = F.slice("list", j + 1, F.size("list"))
         parts = F.array_distinct(F.transform(left, lambda x: F.struct(x["part"].alias("part"), x["weight"].alias("weight"), x["least"].alias("least"))))
         live = F.filter(parts, lambda p: (p["least"] <= 1) | (F.size(F.filter(left, lambda x: x["part"] == p["part"])) >= p["least"]))

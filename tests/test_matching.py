@@ -60,6 +60,44 @@ def test_window_search_equals_plain_lcs():
         assert qt.best_window(q, t) == (best, at)
 
 
+def test_windows_side_by_side_equal_single_ones(monkeypatch):
+    """Quotes of one, two and three words of bits, in blocks of few windows."""
+    rnd = random.Random(4)
+    monkeypatch.setattr(qt, "_WINDOWS", 37)
+
+    def lcs(a, b):
+        masks, v = {}, (1 << len(a)) - 1
+        for i, ch in enumerate(a):
+            masks[ch] = masks.get(ch, 0) | 1 << i
+        for ch in b:
+            u = v & masks.get(ch, 0)
+            v = ((v + u) | (v - u)) & ((1 << len(a)) - 1)
+        return len(a) - v.bit_count()
+
+    for _ in range(8):
+        text = "".join(rnd.choices("abcdé ", k=rnd.randint(0, 900)))
+        quotes = ["".join(rnd.choices("abcdxé ", k=k)) for k in (1, 5, 63, 64, 65, 128, 150)] + [text[100:270] or "a"]
+        for floor in (0.0, 0.6):
+            for q, got in zip(quotes, qt.best_windows(quotes, text, floor)):
+                want = (0.0, 0)
+                for s in range(0, int(len(text) - len(q) / 2) + 1, max(1, len(q) // 4)):
+                    r = lcs(q, text[s : min(s + min(len(q) * 2, len(text)), len(text))]) / len(q)
+                    if r > want[0]:
+                        want = (r, s)
+                assert got == want if want[0] >= floor else got[0] <= want[0]
+
+
+def test_quotes_of_a_reference_share_its_text(spark):
+    n = qt.QUOTES_PER_TEXT * 2
+    text = "Relapse fell by 47% in adults. Placebo did nothing at all."
+    c = spark.createDataFrame([(i, 9, 1) for i in range(n)], "claim_id long, reference_id long, ref_rank int")
+    q = spark.createDataFrame([(i, 9, 1, "relapse fell by 47% in adults", "text_quote") for i in range(n)], "claim_id long, reference_id long, position int, quote string, evidence_type string")
+    out = qt.extraction_tier(c, q, spark.createDataFrame([(9, text)], "reference_id long, content_text string"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and plan.index("collect_list") > plan.index("Generate explode")  # texts join what was collected
+    assert {(r.status, r.match_tier) for r in out.collect()} == {("verified", "verified-extraction")} and out.count() == n
+
+
 LIBRARY = [
     (11, "Leonhard 2019", "leonhard", "2019", ["leonhard", "mandarakas", "gondim"], ["diagnosis", "management", "guillain"], ["nat", "rev", "neurol"]),
     (54, "van den Berg 2014", "van", "2014", ["berg", "walgaard", "drenthen", "fokke", "jacobs", "doorn"], ["guillain", "pathogenesis"], ["nat", "rev", "neurol"]),
