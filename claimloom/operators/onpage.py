@@ -241,9 +241,10 @@ def match_segments(segments: DataFrame, lines: DataFrame, floor: float = 0.55) -
     return flat.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
 
 
-def annotations(claims: DataFrame, resolved: DataFrame, promoted: DataFrame, globals_: DataFrame) -> DataFrame:
+def annotations(claims: DataFrame, resolved: DataFrame, promoted: DataFrame, globals_: DataFrame, source: str = "layout") -> DataFrame:
     """Annotation rows of a deck: slide and notes claims, promoted claims, and the globals nothing promoted covers.
 
+    ``source`` names what read the spans.
     promoted: doc, page, idx, text, numbers, has_evidence; globals_: rows of global_annotations.
     """
     n = resolved.filter(F.col("citation_text").isNotNull()).groupBy(*PAGE, "region", "claim_no").agg(F.count("*").alias("n_refs"))
@@ -251,10 +252,10 @@ def annotations(claims: DataFrame, resolved: DataFrame, promoted: DataFrame, glo
     idx = F.row_number().over(Window.partitionBy(*PAGE, "region").orderBy("claim_no")) - 1
 
     def ident(prefix: Column) -> Column:
-        return F.concat_ws("-", F.lit("pymupdf"), prefix, F.col("page").cast("string"), F.col("idx").cast("string"))
+        return F.concat_ws("-", F.lit(source), prefix, F.col("page").cast("string"), F.col("idx").cast("string"))
 
     a = base.withColumn("idx", idx).select(
-        *PAGE, ident(F.when(F.col("region") == "slide", "s").otherwise("n")).alias("id"), "region", "text", F.lit("pymupdf").alias("source"),
+        *PAGE, ident(F.when(F.col("region") == "slide", "s").otherwise("n")).alias("id"), "region", "text", F.lit(source).alias("source"),
         F.lit("on-page").alias("tier"), (F.col("n_refs") > 0).alias("matched"), F.lit(False).alias("global_spot"))
     p = promoted.select(
         *PAGE, ident(F.lit("gc")).alias("id"), F.lit("slide").alias("region"), "text", F.lit("global-reference").alias("source"),

@@ -163,10 +163,11 @@ def scorecard(claims: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def annotation_summary(claims: DataFrame, keys: list[str]) -> DataFrame:
+def annotation_summary(claims: DataFrame, keys: list[str], on_page: tuple[str, ...] = ("on-page", "layout")) -> DataFrame:
+    """Counts by source and state; ``on_page`` names the sources that read the page itself."""
     referenced = F.coalesce("matched", F.lit(False)) & (F.size(F.coalesce("references", F.array().cast("array<string>"))) > 0)
     return claims.groupBy(*keys).agg(
-        F.count("*").alias("total"), count_if(F.col("source").isin("on-page", "pymupdf")).alias("on_page"),
+        F.count("*").alias("total"), count_if(F.col("source").isin(*on_page)).alias("on_page"),
         count_if(F.col("source") == "ai-find").alias("ai_finds"),
         count_if(F.coalesce("global_spot", F.lit(False))).alias("global_annotations"),
         count_if(~referenced).alias("unreferenced"),

@@ -27,7 +27,7 @@ def blocks(spark, d):
     left = F.col("line_no") % 2 == 0
     x0 = F.when(F.col("doc_id") % 4 == 0, 50.0).when(left, 50.0).otherwise(330.0)
     y0 = F.floor(F.col("line_no") % 10 / 2) * 130.0 + 80
-    text = F.when(k % 11 == 0, F.concat(F.lit("Figure "), s(k % 9 + 1), F.lit(". "), F.substring("stmt", 1, 100))).otherwise(F.col("stmt"))
+    text = F.when(k % 11 == 0, F.concat(F.lit("Figure "), s(k % 9 + 1), F.lit(". "), "stmt")).otherwise(F.col("stmt"))
     return t.select(
         F.col("doc_id").alias("doc"), "page", F.col("line_no").alias("block_no"), x0.alias("x0"), y0.alias("y0"),
         F.when(F.col("doc_id") % 4 == 0, 560.0).otherwise(x0 + 230).alias("x1"), (y0 + 100 + F.col("line_no") % 3).alias("y1"), text.alias("text"),
@@ -39,7 +39,7 @@ fragment(
     "blocks_e",
     """SELECT doc_id AS doc, page, line_no AS block_no, x0, y0, CASE WHEN doc_id % 4 = 0 THEN 560.0 ELSE x0 + 230 END::DOUBLE AS x1, (y0 + 100 + line_no % 3)::DOUBLE AS y1, text, is_image FROM (
       SELECT *, CASE WHEN doc_id % 4 = 0 OR line_no % 2 = 0 THEN 50.0 ELSE 330.0 END::DOUBLE AS x0, (line_no % 10 // 2 * 130.0 + 80)::DOUBLE AS y0,
-        CASE WHEN (doc_id + line_no) % 11 = 0 THEN 'Figure ' || ((doc_id + line_no) % 9 + 1) || '. ' || substring(stmt, 1, 100) ELSE stmt END AS text, (doc_id + line_no) % 9 = 0 AS is_image FROM statements)""",
+        CASE WHEN (doc_id + line_no) % 11 = 0 THEN 'Figure ' || ((doc_id + line_no) % 9 + 1) || '. ' || stmt ELSE stmt END AS text, (doc_id + line_no) % 9 = 0 AS is_image FROM statements)""",
     "statements",
 )
 
@@ -48,12 +48,12 @@ def pairs(spark, d):
     """Each document with a claim: its own first statement reworded."""
     t = b.statements(spark, d)
     g = t.groupBy("doc_id").agg(F.min_by("stmt", "line_no").alias("stmt"))
-    return g.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc"), F.concat(F.lit("Relapse fell by 12% (p<0.04): "), F.substring("stmt", 1, 200)).alias("claim_text"))
+    return g.select(F.col("doc_id").alias("pair_id"), F.col("doc_id").alias("doc"), F.concat(F.lit("Relapse fell by 12% (p<0.04): "), "stmt").alias("claim_text"))
 
 
 fragment(
     "pairs_e",
-    """SELECT doc_id AS pair_id, doc_id AS doc, 'Relapse fell by 12% (p<0.04): ' || substring(arg_min(stmt, line_no), 1, 200) AS claim_text FROM statements GROUP BY doc_id""",
+    """SELECT doc_id AS pair_id, doc_id AS doc, 'Relapse fell by 12% (p<0.04): ' || arg_min(stmt, line_no) AS claim_text FROM statements GROUP BY doc_id""",
     "statements",
 )
 
@@ -126,8 +126,8 @@ def rank_evidence(spark, d):
 
 @query(
     "e04_support_strength",
-    f"""SELECT pair_id, candidate_no, {_STRENGTH} AS support_strength, CASE WHEN page_score > 0.6 THEN 'Strong claim overlap on page ' || page || '; ' || kind || ' region prioritized with LlamaParse page context.'
-      WHEN score >= 0.45 THEN 'Moderate keyword overlap on page ' || page || '; ' || kind || ' region kept as a useful candidate.' ELSE 'Low-overlap ' || kind || ' region on page ' || page || '; included as a weaker fallback candidate.' END AS rationale FROM ranked_e""",
+    f"""SELECT pair_id, candidate_no, {_STRENGTH} AS support_strength, CASE WHEN page_score > 0.6 THEN 'Page ' || page || ' repeats most of the claim: ' || kind || ' region ranked with its page'
+      WHEN score >= 0.45 THEN 'Page ' || page || ' shares part of the claim: ' || kind || ' region worth a look' ELSE 'Page ' || page || ' shares little with the claim: ' || kind || ' region as a last resort' END AS rationale FROM ranked_e""",
     ("ranked_e",),
 )
 def support_strength(spark, d):

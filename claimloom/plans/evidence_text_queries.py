@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from claimloom.functions import text as tx
@@ -10,7 +12,7 @@ from claimloom.operators import quotes as qt
 from claimloom.plans import bindings as b
 from claimloom.plans import ingest_queries as iq
 from claimloom.plans import retrieval_queries as rq
-from claimloom.plans.registry import fragment, query
+from claimloom.plans.registry import FRAGMENTS, fragment, query
 from claimloom.plans.text_queries import sql_keywords
 
 
@@ -361,7 +363,7 @@ def merge_facts(spark, d):
 
 
 def cascade_inputs(spark, d, rows=None):
-    """Claims (all, or the given ones) of every fourth conversation cite the opening words of their library document; every fifth has no vector, every
+    """Claims (all, or the given ones) of every fourth conversation cite the first line of their library document; every fifth has no vector, every
     seventh belongs to a brand without a library.  The model picks the first candidate, or nothing in every tenth."""
     c = b.claim_vectors(spark, d, rows)
     conv = F.floor(F.col("claim_id") / 1000)
@@ -369,7 +371,7 @@ def cascade_inputs(spark, d, rows=None):
     c = c.withColumn("embedding", vector).withColumn("brand", F.when(conv % 7 == 5, "nowhere").otherwise(F.col("brand")))
     cited = F.when(conv % 4 == 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
     claims = c.withColumn("doc", F.col("claim_id")).withColumn("region", F.lit("slide")).withColumn("y", F.lit(10.0)).withColumn("ref_numbers", cited)
-    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("conv"), F.lower(F.substring("text", 1, 60)).alias("citation_text"))
+    docs = b.table(spark, d, "documents").select(F.col("doc_id").alias("conv"), F.lower(F.get(F.split("text", "\n"), F.lit(0))).alias("citation_text"))
     pool = c.withColumn("conv", conv).join(docs, "conv").select(
         F.col("claim_id").alias("doc"), "page", F.lit("slide").alias("region"), F.lit(1).alias("ref_no"), "citation_text")
     choices = c.select(
@@ -379,24 +381,45 @@ def cascade_inputs(spark, d, rows=None):
 
 
 _CSTOP = "[" + ", ".join(f"'{w}'" for w in tx.CLAIM_STOP_WORDS) + "]"
+_FIRST = "lower(string_split(t.text, chr(10))[1])"
 fragment(
-    "cited_settled",
-    f"""SELECT claim_id, reference_id, 1.0::DOUBLE AS confidence FROM (
+    "cited_best",
+    f"""SELECT claim_id, reference_id, score FROM (
       SELECT claim_id, reference_id, ws, len(list_filter(ws, w -> contains(lower(display_alias || ' ' || substring(content_text, 1, 500)), w)))::DOUBLE / nullif(len(ws), 0) AS score
-      FROM (SELECT claim_id, brand, list_filter(regexp_split_to_array(trim(lower(substring(t.text, 1, 60))), '\\s+'), w -> length(w) > 3 AND NOT list_contains({_CSTOP}, w)) AS ws, lower(substring(t.text, 1, 60)) AS raw
+      FROM (SELECT claim_id, brand, list_filter(regexp_split_to_array(trim({_FIRST}), '\\s+'), w -> length(w) > 3 AND NOT list_contains({_CSTOP}, w)) AS ws, {_FIRST} AS raw
         FROM claims JOIN documents t ON t.doc_id = claim_id // 1000 WHERE (claim_id // 1000) % 4 = 0) JOIN refs USING (brand) WHERE length(trim(raw)) >= 10)
-    WHERE score >= 0.85 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, reference_id) = 1""",
+    WHERE score >= 0.6 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY round(score, 9) DESC, reference_id) = 1""",
     "claims", "refs",
 )
+fragment("cited_settled", "SELECT claim_id, reference_id, round(score, 9) AS confidence FROM cited_best WHERE round(score, 9) >= 0.85", "cited_best")
+fragment("cited_narrowed", "SELECT claim_id, reference_id FROM cited_best WHERE round(score, 9) < 0.85 AND reference_id IN (SELECT reference_id FROM passages)", "cited_best", "passages")
+
+
+def _scoped(name: str) -> str:
+    """The fragment of a retrieval step for claims whose citation narrows the search to one document."""
+    steps = ("knn_pool", "scored", "hybrid", "reranked", "candidate_refs", "fallback")
+    body, needs = FRAGMENTS[name]
+    if name == "knn_pool":
+        body = body.replace("FROM knn_all", """FROM knn_all WHERE claim_id NOT IN (SELECT claim_id FROM cited_narrowed)
+      OR (claim_id, reference_id) IN (SELECT claim_id, reference_id FROM cited_narrowed)""")
+        needs = (*needs, "cited_narrowed")
+    for step in steps:
+        body = re.sub(rf"\b{step}\b", f"live_{step}", body)
+    fragment(f"live_{name}", body, *[_scoped(n) if n in steps else n for n in needs])
+    return f"live_{name}"
 
 
+for _name in ("candidate_refs", "fallback"):
+    _scoped(_name)
+
 # a share of the candidates gets no quotes at all
 fragment(
     "cascade_extraction",
     f"""SELECT claim_id, reference_id, match_confidence FROM (SELECT c.claim_id, c.reference_id, ref_rank, 0.97::DOUBLE AS match_confidence, {_nq("text")} AS nt, {_nq("substring(text, 20, 90)")} AS nq
-      FROM candidate_refs c JOIN documents d ON d.doc_id = c.reference_id WHERE c.reference_id % 2 = 0 AND c.reference_id % 5 <> 0)
+      FROM live_candidate_refs c SEMI JOIN candidate_refs o ON o.claim_id = c.claim_id AND o.reference_id = c.reference_id
+      JOIN documents d ON d.doc_id = c.reference_id WHERE c.reference_id % 2 = 0 AND c.reference_id % 5 <> 0)
     WHERE nq <> '' AND contains(nt, nq) QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY ref_rank) = 1""",
-    "candidate_refs",
+    "candidate_refs", "live_candidate_refs",
 )
 fragment(
     "cascade",
@@ -405,13 +428,14 @@ fragment(
     LEFT JOIN (SELECT * FROM (SELECT claim_id, 'citation-scoped' AS match_tier, reference_id, confidence AS c, 1 AS o FROM cited_settled
         UNION ALL SELECT claim_id, 'fact-anchored', reference_id, similarity, 2 FROM fact_anchor WHERE (claim_id // 1000) % 5 <> 3
         UNION ALL SELECT claim_id, 'verified-extraction', reference_id, match_confidence, 3 FROM cascade_extraction WHERE (claim_id // 1000) % 5 <> 3
-        UNION ALL SELECT claim_id, 'semantic-direct-fallback', reference_id, hybrid_score, 4 FROM fallback WHERE (claim_id // 1000) % 5 <> 3
+        UNION ALL SELECT claim_id, 'semantic-direct-fallback', reference_id, hybrid_score, 4 FROM live_fallback WHERE (claim_id // 1000) % 5 <> 3
         UNION ALL SELECT claim_id, 'keyword-fallback', reference_id, CASE WHEN page % 2 = 0 THEN 0.85::DOUBLE ELSE score END, 5 FROM cascade_keywords
           WHERE (claim_id // 1000) % 5 = 3 AND (claim_id // 1000) % 10 <> 8 AND rank = 1)
       WHERE (claim_id // 1000) % 7 <> 5 QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY o) = 1) f USING (claim_id)
-    LEFT JOIN (SELECT claim_id, count(*) AS candidates, count(*) FILTER (WHERE reference_id % 5 <> 0) AS quoted FROM candidate_refs GROUP BY claim_id) USING (claim_id)
+    LEFT JOIN (SELECT claim_id, count(*) AS candidates, count(*) FILTER (WHERE reference_id % 5 <> 0 AND (claim_id, reference_id) IN (SELECT claim_id, reference_id FROM candidate_refs)) AS quoted
+      FROM live_candidate_refs GROUP BY claim_id) USING (claim_id)
     LEFT JOIN (SELECT DISTINCT claim_id, true AS offered FROM cascade_keywords) USING (claim_id)""",
-    "cited_settled", "fact_anchor", "cascade_extraction", "fallback", "claims", "candidate_refs", "cascade_keywords",
+    "cited_settled", "fact_anchor", "cascade_extraction", "live_fallback", "claims", "candidate_refs", "live_candidate_refs", "cascade_keywords",
 )
 fragment(
     "cascade_keywords",

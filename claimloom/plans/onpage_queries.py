@@ -173,7 +173,7 @@ def global_annotations(spark, d):
 def match_segments(spark, d):
     t = b.lines(spark, d)
     lines = t.select(F.col("doc_id").alias("doc"), line_page(), "line_no", F.col("line").alias("text"), F.floor(F.col("line_no") / 3).alias("block_id"), F.lit(5.0).alias("x"), F.col("line_no").cast("double").alias("y"))
-    segs = t.filter("line_no % 2 = 0").select(F.col("doc_id").alias("doc"), line_page(), F.col("line_no").alias("seg_no"), F.concat(F.lit("Overall "), F.substring("line", 1, 80)).alias("text"))
+    segs = t.select(F.col("doc_id").alias("doc"), line_page(), F.col("line_no").alias("seg_no"), F.concat(F.lit("Overall "), "line").alias("text"))
     return op.match_segments(segs, lines).drop("x", "y")
 
 
@@ -194,7 +194,7 @@ _KIND = "CASE WHEN contains(lower(stmt), '5 mg dose') THEN 'dose' WHEN contains(
 
 @query("a13_annotations")
 def annotations(spark, d):
-    p = promoted(spark, d).filter("kind = 'relapse'").select("doc", "page", F.col("ord").alias("idx"), "text", "numbers", (F.col("ord") % 4 == 0).alias("has_evidence"))
+    p = promoted(spark, d).select("doc", "page", F.col("ord").alias("idx"), "text", "numbers", (F.col("ord") % 4 == 0).alias("has_evidence"))
     k = deck(spark, d)
     return op.annotations(k["claims"], k["resolved"], p, globals_(spark, d, k))
 

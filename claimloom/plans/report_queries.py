@@ -30,7 +30,7 @@ def reviewed(spark, d):
         .when((e == "signup") & (v > 5), "semantic-direct-fallback").alias("match_tier"),
         F.get(F.array(*[F.lit(x) for x in ("efficacy", "safety", "regulatory", "comparative", "dosage", "other")]),
               (F.col("event_id") % 6).cast("int")).alias("type"),
-        F.when(F.col("event_id") % 4 == 0, "on-page").when(F.col("event_id") % 4 == 1, "pymupdf").when(F.col("event_id") % 4 == 2, "ai-find")
+        F.when(F.col("event_id") % 4 == 0, "on-page").when(F.col("event_id") % 4 == 1, "layout").when(F.col("event_id") % 4 == 2, "ai-find")
         .otherwise("core").alias("source"),
         (F.col("event_id") % 12 - 1).cast("int").alias("page"), (F.col("event_id") % 9 == 0).alias("global_spot"),
         F.when(F.col("event_id") % 5 > 1, F.array(F.lit("r"))).when(F.col("event_id") % 5 == 1, F.array().cast("array<string>")).alias("references"),
@@ -47,7 +47,7 @@ fragment(
     CASE WHEN event_type = 'click' THEN 'citation-scoped' WHEN event_type = 'view' THEN 'fact-anchored' WHEN event_type = 'purchase' THEN 'verified-extraction'
       WHEN event_type = 'signup' AND value > 5 THEN 'semantic-direct-fallback' END AS match_tier,
     ['efficacy', 'safety', 'regulatory', 'comparative', 'dosage', 'other'][event_id % 6 + 1] AS type,
-    ['on-page', 'pymupdf', 'ai-find', 'core'][event_id % 4 + 1] AS source, (event_id % 12 - 1)::INT AS page, event_id % 9 = 0 AS global_spot,
+    ['on-page', 'layout', 'ai-find', 'core'][event_id % 4 + 1] AS source, (event_id % 12 - 1)::INT AS page, event_id % 9 = 0 AS global_spot,
     CASE WHEN event_id % 5 > 1 THEN 1 WHEN event_id % 5 = 1 THEN 0 END AS n_refs, event_id AS ord, event_id AS global_index,
     event_type || ' Claim ' || user_id AS text, ts FROM events""",
 )
@@ -160,7 +160,7 @@ def scorecard(spark, d):
 
 @query(
     "g06_annotation_summary",
-    """SELECT run, count(*) AS total, count(*) FILTER (WHERE source IN ('on-page', 'pymupdf')) AS on_page, count(*) FILTER (WHERE source = 'ai-find') AS ai_finds,
+    """SELECT run, count(*) AS total, count(*) FILTER (WHERE source IN ('on-page', 'layout')) AS on_page, count(*) FILTER (WHERE source = 'ai-find') AS ai_finds,
       count(*) FILTER (WHERE global_spot) AS global_annotations, count(*) FILTER (WHERE NOT matched OR coalesce(n_refs, 0) = 0) AS unreferenced
     FROM reviewed GROUP BY run""",
     ("reviewed",),
@@ -193,11 +193,11 @@ def type_counts(spark, d):
 @query(
     "g09_browse_claims",
     """SELECT claim_id, page, status, round(confidence, 6) AS confidence FROM reviewed WHERE status = 'pending' AND type IN ('safety', 'dosage')
-      AND source = 'pymupdf' AND contains(lower(text), 'claim 1')""",
+      AND source = 'layout' AND contains(lower(text), 'claim 1')""",
     ("reviewed",),
 )
 def browse_claims(spark, d):
-    out = rp.browse_claims(reviewed(spark, d), "pending", ("safety", "dosage"), "pymupdf", "CLAIM 1", order="confidence-desc")
+    out = rp.browse_claims(reviewed(spark, d), "pending", ("safety", "dosage"), "layout", "CLAIM 1", order="confidence-desc")
     return out.select("claim_id", "page", "status", F.round("confidence", 6).alias("confidence"))
 
 

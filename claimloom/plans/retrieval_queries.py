@@ -299,28 +299,28 @@ _MEMO_TEXT = "trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))"
 @query(
     "k15_match_distinct",
     f"""SELECT p.claim_id, source_claim_id, reference_id, round(score, 6) AS score FROM (
-      SELECT claim_id, min(claim_id) OVER (PARTITION BY brand, {_MEMO_TEXT}) AS source_claim_id FROM short_claims) p
+      SELECT claim_id, min(claim_id) OVER (PARTITION BY brand, {_MEMO_TEXT}) AS source_claim_id FROM word_claims) p
     JOIN (SELECT claim_id, reference_id, len(list_filter(kw, n -> contains(lower(content_text), n)))::DOUBLE / nullif(len(kw), 0) AS score
-      FROM (SELECT claim_id, brand, {sql_keywords("text")} AS kw FROM short_claims) JOIN refs USING (brand) WHERE
+      FROM (SELECT claim_id, brand, {sql_keywords("text")} AS kw FROM word_claims) JOIN refs USING (brand) WHERE
       len(list_filter(kw, n -> contains(lower(content_text), n))) > 0
       QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, reference_id) = 1) m ON m.claim_id = p.source_claim_id""",
-    ("short_claims", "refs"),
+    ("word_claims", "refs"),
 )
 def match_distinct(spark, d):
     refs = b.documents(spark, d)
-    out, _ = rt.match_distinct(short_claims(spark, d), lambda c: rt.keyword_prefilter(c, refs, 1))
+    out, _ = rt.match_distinct(word_claims(spark, d), lambda c: rt.keyword_prefilter(c, refs, 1))
     return out.select("claim_id", "source_claim_id", "reference_id", r6("score"))
 
 
-def short_claims(spark, d):
-    """First six characters' worth of words repeat often: claims with many identical texts."""
-    words = F.slice(F.split(F.lower("text"), r"[^a-z]+"), 1, 3)
+def word_claims(spark, d):
+    """Claims by their words alone: texts that differ in numbers or marks become identical."""
+    words = F.split(F.lower("text"), r"[^a-z]+")
     return b.claims(spark, d).withColumn("text", F.array_join(words, " "))
 
 
 fragment(
-    "short_claims",
-    """SELECT * REPLACE (array_to_string(regexp_split_to_array(lower(text), '[^a-z]+')[1:3], ' ') AS text) FROM claims""",
+    "word_claims",
+    """SELECT * REPLACE (array_to_string(regexp_split_to_array(lower(text), '[^a-z]+'), ' ') AS text) FROM claims""",
     "claims",
 )
 
@@ -328,11 +328,11 @@ fragment(
 @query(
     "k15_memo_counts",
     f"""SELECT count(*) AS total_claims, count(DISTINCT (brand, {_MEMO_TEXT})) AS unique_claims,
-      count(*) - count(DISTINCT (brand, {_MEMO_TEXT})) AS duplicate_claims FROM short_claims""",
-    ("short_claims",),
+      count(*) - count(DISTINCT (brand, {_MEMO_TEXT})) AS duplicate_claims FROM word_claims""",
+    ("word_claims",),
 )
 def memo_counts(spark, d):
-    return rt.match_distinct(short_claims(spark, d), lambda c: c.select("claim_id"))[1]
+    return rt.match_distinct(word_claims(spark, d), lambda c: c.select("claim_id"))[1]
 
 
 @query(

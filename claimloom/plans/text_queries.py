@@ -327,12 +327,12 @@ def display_alias(spark, d):
     f"""SELECT doc_id, line_no, CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substring(stmt, s + 1, 360)) AS value FROM (
       SELECT *, greatest(0, coalesce(list_filter(list_transform(list_filter(list_filter(string_split({sql_match_form("claim")}, ' '),
         w -> length(w) > 2 AND NOT list_contains({CITE_STOP}, w)), w -> length(w) >= 5), w -> strpos(lower(stmt), w)), p -> p > 0)[1], 1) - 1 - 80) AS s
-      FROM (SELECT *, substring(stmt, 100, 300) AS claim FROM statements))""",
+      FROM (SELECT *, stmt AS claim FROM statements))""",
     ("statements",),
 )
 def snippet(spark, d):
     t = b.statements(spark, d)
-    return t.select("doc_id", "line_no", tx.snippet(F.col("stmt"), F.substring("stmt", 100, 300)).alias("value"))
+    return t.select("doc_id", "line_no", tx.snippet(F.col("stmt"), F.col("stmt")).alias("value"))
 
 
 @query(

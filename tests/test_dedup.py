@@ -107,3 +107,30 @@ def test_percentiles_equal_sorting(spark):
         v = sorted(x for key, x in data if key == k and x is not None)
         for name, p in ps.items():
             assert got[k][name] == v[max(1, -int(-(len(v) * p - 1e-9) // 1)) - 1], (k, name)
+
+
+def test_training_examples_equal_the_plain_rule(spark):
+    from claimloom.operators import placement as pl
+
+    rnd = random.Random(5)
+    rows = sorted({(b, f"doc{d}", s, p, f"text {rnd.randint(0, 60)}") for b in range(4) for d in range(6) for s in range(2) for p in range(rnd.choice([1, 2, 9]))})
+    seen, merged = set(), []
+    for b, d, s, p, t in rows:
+        if (b, d, t) not in seen:
+            seen.add((b, d, t))
+            merged.append((b, d, s, p, t, t.upper(), "Claim"))
+    df = spark.createDataFrame(merged, "brand_id long, document_key string, session_id long, pos int, text_key string, text string, type string")
+    asked = [(b, f"doc{d}") for b in range(4) for d in range(6)] + [(2, "new document"), (9, "other brand")]
+    for cap in (3, 12):
+        out = pl.training_examples(df, spark.createDataFrame(asked, "brand_id long, document_key string"), cap)
+        got = {}
+        for r in out.collect():
+            got.setdefault((r.brand_id, r.current), []).append((r.place, r.text_key, r.source_brand_id))
+        for b, d in asked:
+            tiers = sorted(((0 if (x, y) == (b, d) else 1) if x == b else 2, x if x != b else 0, y, s, p, t) for x, y, s, p, t, *_ in merged)
+            want, used = [], set()
+            for tier, src, *_, t in tiers:
+                if t not in used and len(want) < cap:
+                    used.add(t)
+                    want.append((len(want) + 1, t, src if tier == 2 else None))
+            assert sorted(got.get((b, d), [])) == want, (cap, b, d)
