@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import multiprocessing
 import pickle
@@ -43,6 +45,13 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").translate(UPPER).decode("utf-8", "surrogatepass")
 
 
+def give_back() -> None:
+    """Free pages of this worker go back to the system; without it they stay with every idle worker of an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 _KEPT: list = [None, None]
 
 
@@ -55,7 +64,7 @@ def kept_by_worker(name, make):
     if _KEPT[0] != name:
         _KEPT[:] = [None, None]
         gc.collect()
-        pa.default_memory_pool().release_unused()
+        give_back()
         _KEPT[:] = [name, make()]
     return _KEPT[1]
 

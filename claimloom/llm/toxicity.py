@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from claimloom.llm.common import WORD, arrow_map, fold, kept_by_worker, lower_ascii, words_of
+from claimloom.llm.common import WORD, arrow_map, fold, give_back, kept_by_worker, lower_ascii, words_of
 from claimloom.llm.labelled import SAMPLE, fitted
 
 # Lengths of the word beginnings that are features besides the whole word.
@@ -377,6 +377,7 @@ def keep_clean(docs: DataFrame, field: Field, threshold: float = 0.5) -> DataFra
         for b in batches:
             texts = [t or "" for t in b.column("text").to_pylist()]
             yield b.filter(pa.array([f.document_score(p) < threshold for p in f.token_marginals(texts)], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 
