@@ -144,7 +144,20 @@ def dedupe_evidence(spark, d):
     return ev.dedupe_evidence(ranked(spark, d)).select("pair_id", "candidate_no", long("rank"))
 
 
-@query("e06_shortlist")
+_E_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower(claim_text), '[a-zA-Z0-9\\-%\\.]+'), t -> length(t) > 2))"
+_E_NUMERIC = "list_distinct(regexp_extract_all(lower(claim_text), '\\b\\d+(?:\\.\\d+)?%?|hr\\s*0?\\.\\d+|p\\s*[<=>]\\s*0?\\.\\d+\\b'))"
+
+
+@query(
+    "e06_shortlist",
+    f"""SELECT pair_id, region_no, kind, round(pre_score, 6) AS pre_score, (row_number() OVER (PARTITION BY pair_id ORDER BY round(pre_score, 9) DESC, region_no))::INT AS rank FROM (
+      SELECT pair_id, region_no, kind, CASE WHEN kind = 'figure' THEN 0.0::DOUBLE WHEN kind = 'table' THEN least(score * 1.25::DOUBLE, 1) ELSE score END AS pre_score FROM (
+        SELECT p.pair_id, k.block_no AS region_no, CASE WHEN is_image THEN 'figure' ELSE t.kind END AS kind,
+          CASE WHEN is_image THEN 0::DOUBLE ELSE round(({_score("lower(text)").removeprefix("round(").removesuffix(", 9)")})::VARCHAR::DECIMAL(38, 20), 4)::DOUBLE END AS score
+        FROM (SELECT *, {_E_TOKENS} AS toks, {_E_NUMERIC} AS nums FROM pairs_e) p JOIN blocks_e k USING (doc) JOIN block_types_e t ON t.doc = k.doc AND t.block_no = k.block_no))
+    QUALIFY rank <= 10""",
+    ("pairs_e", "blocks_e", "block_types_e"),
+)
 def shortlist(spark, d):
     k = blocks(spark, d)
     r = k.select("doc", F.col("block_no").alias("region_no"), "page", F.when(F.col("is_image"), "figure").otherwise(ev.block_type()).alias("kind"),
@@ -152,12 +165,15 @@ def shortlist(spark, d):
     return ev.shortlist(pairs(spark, d), r, 10).select("pair_id", "region_no", "kind", F.round("pre_score", 6).alias("pre_score"), "rank")
 
 
-@query(
-    "e07_block_type",
+fragment(
+    "block_types_e",
     """SELECT doc, block_no, CASE WHEN length(text) < 200 AND regexp_matches(text, '(?i)^(figure|table|chart|box|fig\\.?)\\s') THEN 'caption' WHEN regexp_matches(text, '(?i)^box\\s+\\d') THEN 'table'
       WHEN length(text) < 80 AND (x1 - x0) / 612.0 < 0.7 THEN 'heading' ELSE 'text' END AS kind FROM blocks_e""",
-    ("blocks_e",),
+    "blocks_e",
 )
+
+
+@query("e07_block_type", "SELECT * FROM block_types_e", ("block_types_e",))
 def block_type(spark, d):
     return blocks(spark, d).select("doc", "block_no", ev.block_type().alias("kind"))
 

@@ -243,6 +243,20 @@ def fact_score(spark, d):
     return b.sentence_rows(spark, d).select("doc_id", "ord", fc.fact_score(F.col("text")).cast("long").alias("score"))
 
 
+fragment("raw_statements", "SELECT doc_id, source, line_no, 1 AS page, line AS stmt FROM lines", "lines")
+
+
+def facts_of_texts(name: str = "facts") -> str:
+    """The fragment of a step of fact mining over whole documents of one page instead of statements."""
+    steps = {"statements": "raw_statements", "blocks": "raw_blocks", "segments": "raw_segments", "facts": "raw_facts"}
+    if name != "statements":
+        body, needs = FRAGMENTS[name]
+        for old, new in steps.items():
+            body = re.sub(rf"\b{old}\b", new, body)
+        fragment(steps[name], body, *[facts_of_texts(n) for n in needs])
+    return steps[name]
+
+
 fragment(
     "blocks",
     f"SELECT doc_id, page, stmt AS block, row_number() OVER (PARTITION BY doc_id, page ORDER BY min(line_no)) AS block_no FROM statements WHERE NOT {_NOISE.format(c='stmt')} GROUP BY doc_id, page, stmt",

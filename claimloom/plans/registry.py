@@ -33,7 +33,9 @@ def sql(body: str, *needs: str) -> str:
     parts = [f"{n} AS (\n{FRAGMENTS[n][0].strip()}\n)" for n in order]
     body = body.strip()
     head = "WITH " + ",\n".join(parts) if parts else ""
-    if parts and body.startswith("WITH "):
+    if parts and body.startswith("WITH RECURSIVE "):
+        head, body = head.replace("WITH ", "WITH RECURSIVE ", 1) + ",", body[len("WITH RECURSIVE "):]
+    elif parts and body.startswith("WITH "):
         head, body = head + ",", body[len("WITH "):]
     return _lambdas(f"{head}\n{body}".strip())
 

@@ -140,3 +140,25 @@ def test_fact_anchor_needs_a_partner(spark):
     f = spark.createDataFrame([(9, "b", [("other thing", 1), ("The relapse rate fell", 4)], [1.0, 0.0])], "reference_id long, brand string, facts array<struct<text:string,page:int>>, embedding array<float>")
     got = rt.fact_anchor(c, f).collect()
     assert [(r.claim_id, r.page, r.excerpt) for r in got] == [(1, 4, "The relapse rate fell")]
+
+
+def test_short_prefixes_inside_words(spark):
+    from claimloom.operators import placement as pl
+
+    lines = [(1, 1, i, t) for i, t in enumerate(["the alpha beta gamma", "xalpha betax", "alpha", "gamma alphabet", "nothing here"])] + [(2, 1, 0, "alpha beta")]
+    claims = [(1, 1, 1, "Alpha"), (2, 1, 1, "alpha beta"), (3, 1, 1, "gamma"), (4, 2, 1, "nothing"), (5, 1, 1, "a")]
+    got = pl.prefix_anchor(spark.createDataFrame(claims, "claim_id long, doc long, page int, text string"), spark.createDataFrame(lines, "doc long, page int, line_no int, text string"))
+    # a line counts if it holds the prefix and most of its words in order
+    assert {(r.claim_id, r.line_no) for r in got.collect()} == {(1, 0), (2, 0), (3, 0)}
+
+
+def test_many_pairs_of_one_document_share_its_texts(spark):
+    from claimloom.operators import evidence as ev
+
+    n = ev.PAIRS_PER_TEXT * 2
+    pairs = [(i, 1, f"relapse fell by {i}% in adults") for i in range(n)] + [(9999, 2, "no such document")]
+    p = spark.createDataFrame(pairs, "pair_id long, doc long, claim_text string")
+    pages = spark.createDataFrame([(1, 1, "Relapse in 7% of ADULTS", 1), (1, 2, "", 1), (1, 1, "old", 0)], "doc long, page int, page_text string, seq int")
+    got = {(r.pair_id, r.page): r.page_score for r in ev.page_scores(p, pages).collect()}
+    alone = {(r.pair_id, r.page): r.page_score for i in (7, 8) for r in ev.page_scores(p.filter(f"pair_id = {i}"), pages).collect()}
+    assert len(got) == 2 * n and got[7, 1] > got[8, 1] > got[8, 2] == 0.0 and alone == {k: got[k] for k in alone}
