@@ -19,23 +19,23 @@ from pyspark.sql import DataFrame
 from claimloom.llm.common import arrow_map
 
 ROUNDS = 8
-# The formats of the kinds of personal data.
+# The formats of the kinds of personal data, in ASCII digits; digits of other scripts are no part of them.
 PATTERN = re.compile(
     r"(?P<email>[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})"
-    r"|(?<![\w.+])(?P<date>\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![\w]|[./-]\d)"
-    r"|(?<![\w.+-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w]|-\d)"
-    r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-    r"|(?<!\w)(?P<phone>\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4})(?!\w|[.-]\d)"
-    r"|(?<![\w.+-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w]|-\d)"
+    r"|(?<![\w.+])(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4})(?![\w]|[./-][0-9])"
+    r"|(?<![\w.+-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w]|-[0-9])"
+    r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
+    r"|(?<!\w)(?P<phone>\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4})(?!\w|[.-][0-9])"
+    r"|(?<![\w.+-])(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![\w]|-[0-9])"
 )
 # Groups in which card numbers are written; a number in one group is another.
 CARD_GROUPS = {(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 5)}
 # Country codes of one and two digits; all others have three.
-CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3}")
+CODE = re.compile(r"[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 # end of fixed values
-_MAYBE = re.compile(r"@|\d[\d ./()-]{4,}\d")
-_RUN, _FIRST = re.compile(r"\d+"), re.compile(r"\D*\d+")
+_MAYBE = re.compile(r"@|[0-9][0-9 ./()-]{4,}[0-9]")
+_RUN, _FIRST = re.compile(r"[0-9]+"), re.compile(r"[^0-9]*[0-9]+")
 # Characters around a number in which others can begin or end that share digits with it.
 REACH = 48
 
@@ -91,7 +91,7 @@ def check_digit(digits: str) -> str:
 def _refill(text: str, digits: str) -> str:
     """``text`` with its digits replaced in order."""
     rest = iter(digits)
-    return "".join(next(rest) if c.isdigit() else c for c in text)
+    return "".join(next(rest) if "0" <= c <= "9" else c for c in text)
 
 
 def _card_span(m: re.Match) -> tuple[int, int] | None:
@@ -104,12 +104,12 @@ def _card_span(m: re.Match) -> tuple[int, int] | None:
             if 13 <= (total := sum(sizes[i:j])) <= 19:
                 usual = j - i == 1 or tuple(sizes[i:j]) in CARD_GROUPS
                 spans.append((not usual, -total, runs[i][0], runs[j - 1][1]))
-    return next(((a, b) for *_, a, b in sorted(spans) if luhn(re.sub(r"\D", "", m.string[a:b]))), None)
+    return next(((a, b) for *_, a, b in sorted(spans) if luhn(re.sub(r"[^0-9]", "", m.string[a:b]))), None)
 
 
 def _phone_span(m: re.Match) -> tuple[int, int] | None:
     """The longest number of whole digit groups in a match; ten digits after +1 go first."""
-    code = CODE.match(re.sub(r"\D", "", m[0]))[0]
+    code = CODE.match(re.sub(r"[^0-9]", "", m[0]))[0]
     ends, n = [], -len(code)
     for r in _RUN.finditer(m.string, *m.span()):
         n += len(r[0])
@@ -158,7 +158,7 @@ class Pseudonyms:
         return str(self._move(int(digits), 10**n, f"{tweak}{n}", lambda x: valid(str(x).zfill(n)))).zfill(n)
 
     def card(self, text: str, same: Callable[[str], bool] = _always) -> str | None:
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub(r"[^0-9]", "", text)
         if not luhn(digits):
             return None
         body = self._digits(digits[:-1], "card", lambda d: same(_refill(text, d + check_digit(d))))
@@ -179,7 +179,7 @@ class Pseudonyms:
         return ".".join(str(x) for x in value.to_bytes(4, "big"))
 
     def phone(self, text: str, same: Callable[[str], bool] = _always) -> str | None:
-        digits = re.sub(r"\D", "", text)
+        digits = re.sub(r"[^0-9]", "", text)
         # the code by its digits, so that numbers are equal under other separators
         code = CODE.match(digits)[0]
         rest = digits[len(code):]

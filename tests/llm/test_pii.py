@@ -87,3 +87,55 @@ def test_phone_numbers_are_linked():
     assert one("+49 30 1234 5678") == one("+493012345678") != []
     text = "+1 (415) 555-0132 4111 1111 1111 1111"
     assert [f["kind"] for f in apply(text)[1]] == ["phone", "card"] and back(apply(text)[0])[0] == text
+
+
+def test_digits_of_other_scripts_stay_as_they_are():
+    for text in ("١٢٣-٤٥-٦٧٨٩", "+٤٩ ٣٠ ١٢٣٤٥٦٧", "１９８７-０２-２８", "١٠.٠.٠.١ and ४१११११११११११११११"):
+        out, found = pii.Pseudonyms(KEY).apply(text)
+        assert out == text and found == []
+    mixed = "+٤٩ ٣٠ ١٢٣٤٥٦٧ or +49 30 1234567"
+    out, found = pii.Pseudonyms(KEY).apply(mixed)
+    assert [f["kind"] for f in found] == ["phone"] and out.startswith("+٤٩ ٣٠ ١٢٣٤٥٦٧ or +49 ")
+    assert pii.Pseudonyms(KEY, back=True).apply(out)[0] == mixed
+
+
+def test_all_valid_dates_of_a_format_are_permuted():
+    """Every day of two centuries once: pseudonyms are days of the same format, each met once, and all found by a plain matcher."""
+    import datetime
+
+    days = [datetime.date.fromordinal(n).isoformat() for n in range(pii.FIRST_DAY, pii.LAST_DAY + 1)]
+    p, back = pii.Pseudonyms(KEY), pii.Pseudonyms(KEY, back=True)
+    moved = [p.apply(d)[0] for d in days[:4000]]
+    assert len(set(moved)) == len(moved) and set(moved) <= set(days) and moved != days[:4000]
+    assert [back.apply(d)[0] for d in moved] == days[:4000]
+
+
+def test_finds_what_an_independent_matcher_finds():
+    """Words alone between blanks: validity by plain rules."""
+    import calendar
+    import random
+
+    rnd = random.Random(6)
+
+    def plain(word):
+        parts = word.split("-")
+        if len(parts) == 3 and all(x.isascii() and x.isdigit() for x in parts):
+            if [len(x) for x in parts] == [4, 2, 2]:
+                year, a, b = map(int, parts)  # the month may come first or last
+                return 1900 <= year <= 2099 and any(1 <= m <= 12 and 1 <= d <= calendar.monthrange(year, m)[1] for m, d in ((a, b), (b, a)))
+            if [len(x) for x in parts] == [3, 2, 4]:
+                a, b, c = map(int, parts)
+                return not (a in (0, 666) or a >= 900 or b == 0 or c == 0)
+        if word.isascii() and word.isdigit() and 13 <= len(word) <= 19:
+            total = sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(int(c) for c in reversed(word)))
+            return total % 10 == 0
+        return False
+
+    number = lambda k: "".join(rnd.choices("0123456789", k=k))
+    make = [
+        lambda: f"{rnd.choice(['1987', '2099', '1899', number(4)])}-{number(2)}-{number(2)}", lambda: f"{number(3)}-{number(2)}-{number(4)}",
+        lambda: f"{rnd.choice(['000', '666', '912'])}-{number(2)}-{number(4)}", lambda: number(rnd.randint(12, 20)), lambda: card(number(15)), lambda: "word",
+    ]
+    words = [rnd.choice(make)() for _ in range(3000)]
+    for w in words:
+        assert bool(pii.Pseudonyms(KEY).apply(f"see {w}, then")[1]) == plain(w), w
