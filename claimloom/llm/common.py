@@ -87,8 +87,11 @@ def fold(id_col: str, residue: int, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == residue, F.lit(False))
 
 
-def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
-    """``fn`` takes one record batch as a dict of Python lists and yields dicts of columns of the schema."""
+def arrow_map(df: DataFrame, fn, schema: str, rows: int | None = None) -> DataFrame:
+    """``fn`` takes one record batch as a dict of Python lists and yields dicts of columns of the schema.
+
+    ``rows`` cuts batches further, where Python objects of a whole batch of texts would take too much memory.
+    """
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -97,7 +100,8 @@ def arrow_map(df: DataFrame, fn, schema: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(wanted)
-        for result in fn({k: b.column(i).to_pylist() for i, k in enumerate(b.schema.names)} for b in batches):
+        cut = batches if rows is None else (b.slice(at, rows) for b in batches for at in range(0, len(b), rows))
+        for result in fn({k: b.column(i).to_pylist() for i, k in enumerate(b.schema.names)} for b in cut):
             yield pa.RecordBatch.from_arrays([pa.array(result[n], type=out.field(n).type) for n in names], schema=out)
 
     return df.mapInArrow(run, wanted)

@@ -22,7 +22,9 @@ from claimloom.session import durable
 
 SHARD_PIECES = 20_000
 # Words a worker remembers the ids of; it starts anew beyond that, so its memory is bounded.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 500_000
+# Texts a worker holds as Python strings at a time.
+BATCH_TEXTS = 1000
 # Pre-tokens of printable ASCII text without apostrophes and special tokens.
 _PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _PRINTABLE = re.compile(r"[!-&(-~]+")
@@ -85,7 +87,7 @@ def pieces(df: DataFrame, tokenizer: str, max_tokens: int, id_col: str = "doc_id
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return arrow_map(rows, run, f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return arrow_map(rows, run, f"id {kind}, piece int, start long, length long, ids_crc32 long", BATCH_TEXTS).withColumnRenamed("id", id_col)
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: float, weights=(1.0, 1e-3, 1e-3), rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
