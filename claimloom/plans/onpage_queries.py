@@ -25,14 +25,15 @@ def line_page():
     return (F.floor(F.col("line_no") / 10) + 1).cast("int").alias("page")
 
 
-def spans(spark, d):
+def spans(spark, d, sup_x=60.0):
+    """Spans of the pages; ``sup_x`` is where superscripts stand, right of the lines that begin at 5."""
     t = b.lines(spark, d)
     k = F.col("line_no") % 10
     y = F.when(k < 6, k * 5.0 + 2).otherwise(k * 5.0 + 22)  # 2..27 on the slide, 52..67 in the notes
     base = t.select("doc_id", "line_no", line_page(), (k * 4).alias("pos"), F.col("line").alias("text"), F.lit(5.0).alias("x"), y.alias("y"), F.lit(12.0).alias("size"),
                     F.lit(False).alias("is_superscript"), F.col("line_no").alias("block_id"))
     number = s((F.col("doc_id") + F.col("line_no")) % 6 + 1)
-    sup = t.filter("line_no % 3 = 0").select("doc_id", "line_no", line_page(), (k * 4 + 1).alias("pos"), number.alias("text"), F.lit(60.0).alias("x"), (y - 0.3).alias("y"), F.lit(6.0).alias("size"),
+    sup = t.filter("line_no % 3 = 0").select("doc_id", "line_no", line_page(), (k * 4 + 1).alias("pos"), number.alias("text"), F.lit(sup_x).alias("x"), (y - 0.3).alias("y"), F.lit(6.0).alias("size"),
                                              F.lit(True).alias("is_superscript"), F.col("line_no").alias("block_id"))
     pages = t.select("doc_id", line_page()).distinct()
 
@@ -101,7 +102,8 @@ def sup_parent(spark, d):
 
 @query("a03_associate_sups", "SELECT doc, page, sup_no, n::VARCHAR AS numbers FROM sup_claims_raw WHERE NOT regexp_matches(line, '10\\s*$')", ("sup_claims_raw",))
 def associate_sups(spark, d):
-    sp, bd = spans(spark, d), bounds(spark, d)
+    # superscripts next to their line, near enough to make its 10 a power of ten
+    sp, bd = spans(spark, d, 15.0), bounds(spark, d)
     return op.associate_sups(op.sup_parent(sp, op.sup_spans(sp, bd), bd)).select("doc", "page", "sup_no", F.array_join("numbers", ",").alias("numbers"))
 
 

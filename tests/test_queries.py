@@ -51,3 +51,15 @@ def test_pattern_strength_slices_agree(spark):
     for cut in (None, F.floor(F.col("i") / 7)):
         got = {r.k: r.strength for r in hs.pattern_strength(df, ["k"], ["i"], cut).collect()}
         assert got == want
+
+
+def documents(spark, folder, *texts):
+    rows = [(i, text, "en", "src0", len(text)) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_powers_of_ten_are_no_references(spark, tmp_path):
+    d = documents(spark, tmp_path, "counts grew to 10\nx\nx\nmean was 5 x 10 \nx\nx\nseen in 10 patients\nx\nx\nsteady at 100")
+    assert [r.sup_no for r in driver.queries()["a03_associate_sups"](spark, d).collect()] == [25, 37]  # the seventh and the tenth line
+    assert {r.sup_no for r in driver.queries()["a02_sup_parent"](spark, d).collect()} == {1, 13, 25, 37}
