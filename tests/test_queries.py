@@ -63,3 +63,12 @@ def test_powers_of_ten_are_no_references(spark, tmp_path):
     d = documents(spark, tmp_path, "counts grew to 10\nx\nx\nmean was 5 x 10 \nx\nx\nseen in 10 patients\nx\nx\nsteady at 100")
     assert [r.sup_no for r in driver.queries()["a03_associate_sups"](spark, d).collect()] == [25, 37]  # the seventh and the tenth line
     assert {r.sup_no for r in driver.queries()["a02_sup_parent"](spark, d).collect()} == {1, 13, 25, 37}
+
+
+def test_snippets_come_from_the_page(spark, tmp_path):
+    d = documents(spark, tmp_path, "\n".join(f"word{c * 5} {'filler ' * 30}end{c}" for c in "abcdef"))
+    got = {r.line_no: r.value for r in driver.queries()["t27_snippet"](spark, d).collect()}
+    assert len(got) == 6 and all(len(v) <= 363 for v in got.values())
+    assert [v.startswith("...") for _, v in sorted(got.items())].count(True) >= 4
+    # 80 characters of the line before, then the statement's own first keyword
+    assert got[5].startswith("...") and got[5].find("wordfffff") == 83
