@@ -1,5 +1,6 @@
 """Early termination over posting lists: results against brute force, and how few rows meet."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -107,3 +108,16 @@ def test_citations_whose_parts_all_documents_share(spark):
     parsed = df.withColumn("p", ct.parse_citation(F.col("citation_text")))
     needles = ct.citation_needles(parsed)
     assert abs(max(r.w for r in needles.groupBy("query_id").agg(F.sum("weight").alias("w")).collect()) - 1.0) < 1e-9
+
+
+def test_average_durations_do_not_depend_on_the_order_of_rows(spark):
+    from claimloom.operators import reports as rp
+
+    # 15.0 over six rows rounds up to 3; as doubles in this order the average is 2.4999999999999996
+    values = [4.27, 5.79, 2.59, 1.34, 0.09, 0.92]
+    for rows in (values, values[::-1], [*values, None]):
+        df = spark.createDataFrame([(1, v) for v in rows], "run int, ms double").coalesce(1)
+        assert rp.duration_summary(df, ["run"]).head().avg == 3
+    # too small or too large for the decimals
+    df = spark.createDataFrame([(1, 1e-30), (1, 3.0), (2, 1e25), (2, 1e25), (3, 9e17), (3, 9e17), (4, math.inf)], "run int, ms double")
+    assert {r.run: r.s for r in df.groupBy("run").agg(rp.exact_sum(df.ms).alias("s")).collect()} == {1: 3.0, 2: 2e25, 3: 1.8e18, 4: math.inf}
