@@ -154,7 +154,7 @@ def visuals(spark, d):
 
 
 def elements(spark, d, k):
-    return op.content_elements(spans(spark, d), k["bounds"], visuals(spark, d), k["pool"])
+    return op.content_elements(k["spans"], k["bounds"], visuals(spark, d), k["pool"])
 
 
 @query("a11_content_elements")
