@@ -52,3 +52,26 @@ def test_blocks_of_any_size_agree(spark):
             assert {(r.query_id, r.item, r.hits, r["rank"]) for r in got.collect()} == want
     assert best_held(q.filter("false"), i, 4, ["scope"]).isEmpty() and best_held(q, i.filter("false"), 4, ["scope"]).isEmpty()
     assert best_held(q, i.withColumn("words", F.expr("CAST(NULL AS ARRAY<STRING>)")), 4, ["scope"]).isEmpty()
+
+
+def test_best_citations_are_those_of_all_pairs(spark):
+    from claimloom.operators import citations as ct
+
+    rnd = random.Random(5)
+    names, journals = [f"Autor{c}" for c in "abcdefgh"], ["Brain", "Nat Rev", "Muscle Nerve"]
+    refs = [(i, "ab"[i % 2], f"{rnd.choice(names)} {rnd.choice(journals)}", f"Published {rnd.choice([2001, 2002])} vol {rnd.choice([5, 12])} gamma delta") for i in range(60)]
+    refs += [(100, "a", "Ref 100", "alpha\u00a0beta epsilon"), (101, "a", "Ref 101", "epsilon")]
+    cites = [(str(i), "ab"[i % 2], f"{rnd.choice(names + ['Nobody'])} AB et al. {rnd.choice(journals)}. {rnd.choice([2001, 2003])};{rnd.choice([5, 12])}(3):7-9.") for i in range(40)]
+    # no part of its own: the words count, also one that a wider blank holds together
+    cites += [("w", "a", "alpha\u00a0beta gammadelta"), ("g", "b", "gamma delta gamma omega"), ("short", "a", "brain"), ("none", "a", "nothing shared")]
+    df = spark.createDataFrame(cites, "citation_id string, brand string, citation_text string")
+    rf = spark.createDataFrame(refs, "reference_id long, brand string, display_alias string, content_text string")
+    pairs = df.withColumn("p", ct.parse_citation(F.col("citation_text"))).filter("p IS NOT NULL").join(rf.withColumn("head", ct.reference_head(rf.display_alias, rf.content_text)), "brand")
+    scored = pairs.withColumn("s", ct.score_citation(F.col("p"), F.col("head"))).filter("s > 0").collect()
+    for least in (0.0, 0.6):
+        want = {}
+        for r in sorted(scored, key=lambda r: (-r.s, r.reference_id)):
+            if r.s >= least:
+                want.setdefault(r.citation_id, (r.reference_id, r.s))
+        assert {r.citation_id: (r.reference_id, r.confidence) for r in ct.best_citation(df, rf, least).collect()} == want
+        assert (want.get("w") == (100, 0.5)) == (least == 0.0)
