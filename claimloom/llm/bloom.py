@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from claimloom.operators.joins import shuffled
+
 BLOCK_BITS = 32768
 LOG2_BITS = 27
 
@@ -57,5 +59,5 @@ def without(df: DataFrame, ids: DataFrame, col: str, log2_bits: int = LOG2_BITS)
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("bloom_row"), df[col].alias("bloom_key"))
     bits = repeated(gone, "bloom_gone", log2_bits, least=1)
     probed = maybe_repeated(rows, "bloom_key", bits, "bloom_hit", log2_bits)
-    doubtful = probed.filter("bloom_hit").join(gone, F.col("bloom_key") == F.col("bloom_gone"), "left_anti")
+    doubtful = probed.filter("bloom_hit").join(shuffled(gone), F.col("bloom_key") == F.col("bloom_gone"), "left_anti")
     return probed.filter("not bloom_hit").select("bloom_row").unionByName(doubtful.select("bloom_row")).select("bloom_row.*")

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from claimloom.llm import bloom
 from claimloom.llm.common import arrow_map, kept_by_worker, lower_ascii, words_of
 from claimloom.llm.graph import components
+from claimloom.operators.joins import shuffled
 from claimloom.session import durable
 
 SLICE = 0.375
@@ -280,7 +281,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule:
     dealt = arrow_map(texts.select("text"), lambda bs: (_dealt(s, parts) for s in _documents(bs, rule.words)), _DEALT)
     shared = dealt.groupBy("part").applyInPandas(_shared, "cid long, shared long").groupBy("cid").agg(F.sum("shared").alias("shared"))
     slack = F.col("n") - F.ceil(F.col("n") * rule.percent / 100)
-    possible = durable(classes.join(shared, "cid", "left").filter(F.col("low") - F.coalesce("shared", F.lit(0)) <= slack).select("cid", "n", "low", "th"))
+    possible = durable(classes.join(shuffled(shared), "cid", "left").filter(F.col("low") - F.coalesce("shared", F.lit(0)) <= slack).select("cid", "n", "low", "th"))
 
     # the sets of the possible classes: a filter of bounded size finds their texts in the scan, the join makes it exact
     bits = bloom.repeated(possible, "th", least=1)
@@ -291,7 +292,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule:
             yield {"cid": list(sets), "grams": [g.tobytes() for g in sets.values()]}
 
     found = arrow_map(near, collect_sets, "cid long, grams binary").dropDuplicates(["cid"])
-    sets = durable(found.join(possible.select("cid", "n", "low"), "cid"))
+    sets = durable(found.join(shuffled(possible.select("cid", "n", "low")), "cid"))
 
     # classes that share a rare n-gram
     def deal_sets(batches):
@@ -327,15 +328,15 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule:
 
     postings = durable(first.unionByName(arrow_map(sets, beyond_slice, "key long, cid long")))
     heads = postings.groupBy("key").agg(F.min("cid").alias("a"), F.count("*").alias("k")).filter("k > 1").select("key", "a")
-    touching = postings.join(heads, "key").select("a", F.col("cid").alias("b")).filter("a <> b").distinct()
+    touching = postings.join(shuffled(heads), "key").select("a", F.col("cid").alias("b")).filter("a <> b").distinct()
     comps = components(touching).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
 
     # products of the connected parts
-    totals = comps.join(sets.select("cid", "n"), "cid").groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("grams_in"))
+    totals = comps.join(shuffled(sets.select("cid", "n")), "cid").groupBy("comp").agg(F.count("*").alias("docs"), F.sum("n").alias("grams_in"))
     blocks = totals.select("comp", F.ceil(F.greatest(F.col("docs") / block_docs, F.col("grams_in") / (4 * TASK_NGRAMS))).cast("int").alias("ways"))
     mass = totals.agg(F.sum("grams_in")).first()[0] or 0
     tasks = max(1, int(mass // TASK_NGRAMS))
-    placed = sets.select("cid", "n", "grams").join(comps, "cid").join(blocks, "comp")
+    placed = sets.select("cid", "n", "grams").join(shuffled(comps), "cid").join(shuffled(blocks), "comp")
     mine = F.pmod(F.xxhash64("cid"), F.col("ways")).cast("int")
     other = F.explode(F.when(F.col("ways") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("ways") - 1), lambda k: k != F.col("mine"))))
     placed = placed.withColumn("mine", mine).select("*", other.alias("other"))
@@ -345,10 +346,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rule:
     links = placed.select(task.alias("task"), "comp", "cid", "n", "grams").groupBy("task").applyInPandas(_verify(rule), "a long, b long")
 
     linked = components(links).select(F.col("node").alias("cid"), F.col("component").alias("comp"))
-    grouped = durable(classes.select("cid", "least").join(linked, "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp")))
+    grouped = durable(classes.select("cid", "least").join(shuffled(linked), "cid", "left").select("cid", "least", F.coalesce("comp", "cid").alias("comp")))
     roots = grouped.groupBy("comp").agg(F.min("least").alias("component_id"))
-    by_class = grouped.join(roots, "comp").select("cid", "component_id")
-    some = rows.filter("n > 0").join(by_class, "cid").select("id", "n", "component_id")
+    by_class = grouped.join(shuffled(roots), "comp").select("cid", "component_id")
+    some = rows.filter("n > 0").join(shuffled(by_class), "cid").select("id", "n", "component_id")
     empty = rows.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return some.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
