@@ -75,3 +75,26 @@ def test_best_citations_are_those_of_all_pairs(spark):
                 want.setdefault(r.citation_id, (r.reference_id, r.s))
         assert {r.citation_id: (r.reference_id, r.confidence) for r in ct.best_citation(df, rf, least).collect()} == want
         assert (want.get("w") == (100, 0.5)) == (least == 0.0)
+
+
+def test_facts_of_frequent_keywords_meet_claims_in_blocks(spark):
+    rnd = random.Random(9)
+    common, rare = ["alpha", "beta", "alpha beta"], [f"w{c}{d}" for c in "abcdef" for d in "gh"]
+    facts = [(i % 20, "ab"[i % 2], i, rnd.sample(common, rnd.randint(0, 3)) + rnd.sample(rare, rnd.randint(1, 3))) for i in range(90)] + [(21, "a", 0, ["beta", "alpha"]), (3, None, 0, ["beta"])]
+    claims = [(i, "ab"[i % 2], " ".join(rnd.sample(["Alpha beta", "beta"], 1) + rnd.sample(rare, 4))) for i in range(30)] + [(40, "a", None), (41, "b", "nothing")]
+    votes = [(i, int(i % 3 == 0), int(i % 4 == 0)) for i in range(20)]
+    got = rt.fact_keyword_tier(
+        spark.createDataFrame(claims, "claim_id long, brand string, text string"),
+        spark.createDataFrame(facts, "reference_id long, brand string, fact_no int, keywords array<string>"),
+        spark.createDataFrame(votes, "reference_id long, confirmed long, rejected long"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "needle#" not in plan  # no row per keyword
+    want = {}
+    for c, brand, text in claims:
+        for r, b, no, kw in facts:
+            yes, no_votes = votes[r][1:] if r < 20 else (0, 0)
+            weight = 1.1 if yes and not no_votes else 0.8 if no_votes > yes else 1.0
+            share = sum(w in text.lower() for w in kw) / len(kw) if text and b == brand else 0
+            if round(share * weight, 9) >= 0.75:
+                want[c] = min(want.get(c, (0, 0, 0)), (-round(share * weight, 9), r, no))
+    assert {(r.claim_id, -r.score, r.reference_id, r.fact_no) for r in got.collect()} == {(c, *x) for c, x in want.items()} and want
